@@ -30,6 +30,7 @@ count is low by choice.  Null texts count as empty: the end token alone.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,6 +52,7 @@ GRAMS = (2, 3, 5)
 GRAM_WEIGHTS = (0.20, 0.35, 0.44)
 SEGMENT_TOKENS = 4_000_000
 CACHE_WORDS = 300_000
+GRAM_CACHE = 1 << 19
 #: Kinds of members.
 K_WORD, K_PAIR, K_GRAM, K_CONTEXT = 1, 2, 3, 4
 END, START = "", "\n"  # neither can be a word
@@ -323,11 +325,36 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
+        self.words: list[bytes] = []
         self.index: dict[bytes, int] = {}
         self.hash = np.empty(0, np.uint64)
         self.own = np.empty(0)  # WORD * p(word) + SPELL * p(spelling)
         self.before = np.empty(0)  # the most that the word's count may be, as a context
         self.count = np.empty(0, np.int64)  # exact; -1: not among the frequent words
+        # Direct-mapped cache of the n-grams' probabilities; key 0 is free.
+        self.gram_key = np.zeros(GRAM_CACHE, np.uint64)
+        self.gram_p = np.zeros(GRAM_CACHE)
+
+    def shrink(self) -> None:
+        """Forget all but the frequent words."""
+        kept = np.flatnonzero(self.count >= 0)
+        self.words = [self.words[i] for i in kept.tolist()]
+        self.index = dict(zip(self.words, range(len(self.words))))
+        self.hash, self.own, self.before, self.count = self.hash[kept], self.own[kept], self.before[kept], self.count[kept]
+
+    def gram_probability(self, data: np.ndarray, spots: np.ndarray, length: int) -> np.ndarray:
+        """p of each spot's byte after the bytes before it, by counts of n-grams of this length."""
+        gram, context = (found[spots] for found in gram_keys(data, length))
+        slot = (gram & np.uint64(GRAM_CACHE - 1)).astype(np.int64)
+        p = self.gram_p[slot]
+        missing = np.flatnonzero(self.gram_key[slot] != gram)
+        if len(missing):
+            keys, first, back = np.unique(gram[missing], return_index=True, return_inverse=True)
+            n, c = self.model.level(keys), self.model.level(context[missing[first]])
+            found = np.where((n > 0) & (c > 0), np.minimum(1.0, least_count(np.maximum(n, 1)) / (least_count(np.maximum(c, 1) + 1) - 1)), 0.0)
+            p[missing] = found[back]
+            self.gram_key[slot[missing[first]]], self.gram_p[slot[missing[first]]] = keys, found
+        return p
 
     def spelled(self, words: list[bytes]) -> np.ndarray:
         """p(spelling) of each word: the product over its bytes and its end."""
@@ -335,12 +362,7 @@ class Scorer:
         spots, firsts = spelling_spots(words)
         p = np.full(len(spots), (1 - sum(GRAM_WEIGHTS)) / 256)
         for length, weight in zip(GRAMS, GRAM_WEIGHTS):
-            gram, context = (found[spots] for found in gram_keys(data, length))
-            keys, back = np.unique(np.concatenate([gram, context]), return_inverse=True)
-            level = self.model.level(keys)[back]
-            n, c = level[: len(gram)], level[len(gram) :]
-            seen = (n > 0) & (c > 0)
-            p += np.where(seen, weight * np.minimum(1.0, least_count(np.maximum(n, 1)) / (least_count(np.maximum(c, 1) + 1) - 1)), 0)
+            p += weight * self.gram_probability(data, spots, length)
         return np.add.reduceat(np.log10(p), firsts)
 
     def learn(self, words: list[bytes]) -> None:
@@ -357,6 +379,7 @@ class Scorer:
             before = np.where(level > 0, least_count(level + 1) - 1, 0.0)
             exact = np.array([self.exact.get(w, -1) for w in part], np.int64)
             self.index.update(zip(part, range(len(self.index), len(self.index) + len(part))))
+            self.words += part
             self.hash, self.own = np.concatenate([self.hash, hashes]), np.concatenate([self.own, np.log10(own)])
             self.before, self.count = np.concatenate([self.before, before]), np.concatenate([self.count, exact])
 
@@ -370,7 +393,7 @@ class Scorer:
             tokens += words_of(text)
             tokens.append(END.encode())
         if len(self.index) > CACHE_WORDS:
-            self.reset()
+            self.shrink()
         new = list({*tokens} - self.index.keys())
         if new:
             self.learn(new)
@@ -401,6 +424,17 @@ class Scorer:
         return sums, rare_words, rare_counts
 
 
+_KEPT: dict[str, Scorer] = {}
+
+
+def kept_scorer(name: str, parts: tuple) -> Scorer:
+    """The worker's scorer of this name; what it has learned serves all of the worker's tasks."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Scorer(*parts)
+    return _KEPT[name]
+
+
 def frequent_words(vocabulary: DataFrame, most: int = FREQUENT) -> tuple[dict[str, int], int]:
     """The words of at least a certain count, ``most`` at most, with that count; the end token is always among them."""
     kind = F.floor(F.log2(F.col("n")) * 8).cast("int")
@@ -430,12 +464,13 @@ def lm_scores(docs: DataFrame, train: Column, frequent: int = FREQUENT, max_bits
     model = build_filter(learned, vocabulary.where("n > 0"), total, max_bits)
     common, _ = frequent_words(vocabulary, frequent)
     sent = spark.sparkContext.broadcast((model, float(totals.mass or 0), common))
+    name = uuid.uuid4().hex
     schema = "doc_id long, text_key long, n_tokens long, known long, base double, score double, words array<string>, times array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        scorer = Scorer(*sent.value)
+        scorer = kept_scorer(name, sent.value)
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             (n, known, base, score), words, times = scorer.score(texts)
