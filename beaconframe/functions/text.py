@@ -97,8 +97,8 @@ def has_alert_voice(text: Column) -> Column:
 
 
 def has_emergency_word(text: Column) -> Column:
-    up = F.upper(text)
-    return reduce(lambda a, w: a | F.contains(up, F.lit(w)), EMERGENCY, F.lit(False))
+    low = F.lower(text)
+    return reduce(lambda a, w: a | F.contains(low, F.lit(w.lower())), EMERGENCY, F.lit(False))
 
 
 def place_key(name: Column) -> Column:
