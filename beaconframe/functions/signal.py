@@ -86,7 +86,7 @@ def tone_segments(x: np.ndarray, rate: int, least_s: float = 0.4, gate_db: float
 
     def close() -> None:
         if run:
-            begin, end = start[run[0]], start[run[-1]] + FFT / rate
+            begin, end = start[run[0]] + (FFT - HOP) / 2 / rate, start[run[-1]] + (FFT + HOP) / 2 / rate  # frames' middles
             if end - begin >= least_s:
                 out.append({"frequency": float(np.median(frequency[run])), "start": float(begin), "end": float(end), "duration": float(end - begin), "magnitude": float(10 ** (level[run].max() / 20))})
         run.clear()
