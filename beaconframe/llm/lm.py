@@ -17,8 +17,8 @@ Counts cover all training documents.  Word counts are summed exactly, pre-added
 in each task; pairs move as packed blocks of (64-bit pair hash, count), merged by
 hash range, and each range fills its own segment of the filter, so segments are
 simply laid end to end.  The filter's size is about ``BITS_PER_TOKEN`` bits for
-each training token and ``MAX_BITS`` at most (64 MB), whatever the input: that
-bounds what is broadcast.  Beyond it nothing is left out, only false positives
+each training token and ``BITS_PER_WORD`` for each distinct word, and ``MAX_BITS``
+at most (64 MB), whatever the input: that bounds what is broadcast.  Beyond it nothing is left out, only false positives
 grow.
 
 The base score needs exact counts: those of the ``FREQUENT`` most frequent words
@@ -44,6 +44,7 @@ from .common import cut, slices, slim
 BASE = 1.4
 PROBES = 3
 BITS_PER_TOKEN = 5
+BITS_PER_WORD = 40
 MAX_BITS = 1 << 29
 FREQUENT = 100_000
 PAIR, WORD, SPELL = 0.12, 0.58, 0.30
@@ -88,7 +89,8 @@ def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 class LogFilter:
     """Quantised counts behind membership probes; ``segments`` segments laid end to end."""
 
-    def __init__(self, bits: int, segments: int):
+    def __init__(self, bits: int, segments: int, most: int = 1 << 40):
+        self.most = int(self.levels(np.array([max(most, 1)]))[0])  # no count has a higher level
         self.segment_bits = max(64, bits // segments // 8 * 8)
         self.segments = segments
         self.data = np.zeros(self.segment_bits // 8 * segments, np.uint8)
@@ -128,7 +130,7 @@ class LogFilter:
         alive = np.arange(len(keys))
         base = self.segment_of(keys, self.segments) * np.uint64(self.segment_bits)
         level = 1
-        while len(alive):
+        while len(alive) and level <= self.most:
             ok = np.ones(len(alive), bool)
             for place in self.places(keys[alive], np.uint64(level), self.segment_bits):
                 at = place + base[alive]
@@ -276,10 +278,10 @@ def vocabulary_blocks(vocabulary: DataFrame, segments: int) -> DataFrame:
     return vocabulary.select("word", "n").mapInArrow(run, BLOCK_SCHEMA)
 
 
-def build_filter(train: DataFrame, vocabulary: DataFrame, tokens: int, max_bits: int = MAX_BITS) -> LogFilter:
-    """The filter over ``train`` (which has ``tokens`` tokens); of at most ``max_bits`` bits."""
+def build_filter(train: DataFrame, vocabulary: DataFrame, tokens: int, distinct: int, max_bits: int = MAX_BITS) -> LogFilter:
+    """The filter over ``train`` (which has ``tokens`` tokens, ``distinct`` different ones); of at most ``max_bits`` bits."""
     segments = max(8, -(-tokens // SEGMENT_TOKENS))
-    out = LogFilter(min(max_bits, max(1 << 16, BITS_PER_TOKEN * tokens)), segments)
+    out = LogFilter(min(max_bits, max(1 << 16, BITS_PER_TOKEN * tokens + BITS_PER_WORD * distinct)), segments, tokens)
     segment_bits = out.segment_bits
     blocks = pair_blocks(train, segments).unionByName(vocabulary_blocks(vocabulary, segments))
     dealt = blocks.repartition(segments, "segment").sortWithinPartitions("segment")
@@ -375,7 +377,7 @@ class Scorer:
             chars = np.full(len(part), -400.0)
             if spelled:
                 chars[[k for k, w in enumerate(part) if w not in (END.encode(), START.encode())]] = self.spelled(spelled)
-            own = WORD * count / max(self.mass, 1.0) + SPELL * np.power(10.0, np.maximum(chars, -280))
+            own = WORD * np.minimum(1.0, count / max(self.mass, 1.0)) + SPELL * np.power(10.0, np.maximum(chars, -280))
             before = np.where(level > 0, least_count(level + 1) - 1, 0.0)
             exact = np.array([self.exact.get(w, -1) for w in part], np.int64)
             self.index.update(zip(part, range(len(self.index), len(self.index) + len(part))))
@@ -461,7 +463,7 @@ def lm_scores(docs: DataFrame, train: Column, frequent: int = FREQUENT, max_bits
     vocabulary = cut(word_counts(learned))
     totals = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v"), F.sum(F.ceil(F.pow(F.lit(BASE), F.floor(F.log("n") / math.log(BASE) + 1e-9)) - 1e-6)).alias("mass")).collect()[0]
     total, distinct = totals.n, totals.v
-    model = build_filter(learned, vocabulary.where("n > 0"), total, max_bits)
+    model = build_filter(learned, vocabulary.where("n > 0"), total, distinct, max_bits)
     common, _ = frequent_words(vocabulary, frequent)
     sent = spark.sparkContext.broadcast((model, float(totals.mass or 0), common))
     name = uuid.uuid4().hex

@@ -9,11 +9,12 @@ Candidates come from a recursion on minhash tokens (position, value): in each
 run a node splits its sets on positions sampled for it, 1 / SIMILARITY of them in
 expectation, so that a pair at the threshold keeps one common child in
 expectation at each level.  Which positions a node samples depends on the run
-and on the positions above it, so each record can work out its own paths.  A
-node with ``SMALL`` records or fewer is compared by brute force, on sketches with
-a margin; a larger one is split further, down to ``DEPTH`` levels, where all of
-its records become candidates of one another.  The number of runs follows from
-the recall wanted.
+and on the positions above it, so each record can work out its own paths.  Nodes
+are counted at the ``LEVELS``.  One with ``SMALL`` records or fewer is compared by
+brute force, on sketches with a margin; a larger one is split down to the next of
+the levels; at the last of them all of a large node's records become candidates
+of one another.  The number of runs follows from the recall wanted at the last
+level, so pairs that meet earlier only add to it.
 
 Candidates are linked to clusters, and within each cluster *every* pair is
 compared exactly on the full sets, once: small clusters in one task, large ones
@@ -44,8 +45,8 @@ WORDS = 5
 SIMILARITY = 0.8
 HASHES = 128
 RECALL = 0.997
-DEPTH = 4
-SMALL = 64
+LEVELS = (1, 3)
+SMALL = 128
 #: Candidates' sketches may fall short of the similarity by this much: four standard deviations.
 MARGIN = 0.14
 BLOCK_SETS = 200
@@ -130,7 +131,7 @@ def survival(depth: int) -> float:
     return p
 
 
-def runs_for(recall: float, depth: int = DEPTH) -> int:
+def runs_for(recall: float, depth: int = LEVELS[-1]) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth)))
 
 
@@ -161,16 +162,14 @@ def node_keys(minima: np.ndarray, path: tuple[int, tuple[int, ...]]) -> np.ndarr
     return key.view(np.int64)
 
 
-def nodes_at(records: DataFrame, depth: int, runs: int, similarity: float) -> DataFrame:
+def nodes_at(records: DataFrame, depth: int, split_at: int, runs: int, similarity: float) -> DataFrame:
     """rid, path (its number among those of this depth) and key of each record's nodes.
 
-    Below the first level ``records`` has a row for each node to split: rid, path, minima.
+    With ``split_at`` 0 the records are all split from the root on; else
+    ``records`` has a row for each node of that depth to split: rid, path, minima.
     """
     here = paths(depth, runs, similarity)
-    above = {p: i for i, p in enumerate(paths(depth - 1, runs, similarity))}
-    children: dict[int, list[int]] = {}
-    for i, (run, positions) in enumerate(here):
-        children.setdefault(above[run, positions[:-1]], []).append(i)
+    above = {p: i for i, p in enumerate(paths(split_at, runs, similarity))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,12 +177,12 @@ def nodes_at(records: DataFrame, depth: int, runs: int, similarity: float) -> Da
                 continue
             rid = batch.column("rid").to_numpy()
             minima = np.frombuffer(b"".join(batch.column("minima").to_pylist()), "<u4").reshape(-1, HASHES)
-            parent = batch.column("path").to_numpy() if depth > 1 else None
+            parent = batch.column("path").to_numpy() if split_at else None
             for j, path in enumerate(here):
                 if parent is None:
                     rows = slice(None)
                 else:
-                    rows = np.flatnonzero(parent == above[path[0], path[1][:-1]])
+                    rows = np.flatnonzero(parent == above[path[0], path[1][:split_at]])
                 ids = rid[rows]
                 if len(ids):
                     yield pa.record_batch([pa.array(ids), pa.array(np.full(len(ids), j, np.int32)), pa.array(node_keys(minima[rows], path))], names=["rid", "path", "key"])
@@ -246,18 +245,18 @@ def bucket_edges(members: DataFrame, similarity: float) -> DataFrame:
     return members.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def candidate_edges(records: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, depth: int = DEPTH) -> DataFrame:
+def candidate_edges(records: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Edges a, b between records (rid, minima) that may be alike; they connect all that are."""
-    runs = runs_for(recall, depth)
+    runs = runs_for(recall, levels[-1])
     split, found = records, []
-    for level in range(1, depth + 1):
-        nodes = nodes_at(split, level, runs, similarity)
+    for above, level in zip((0, *levels), levels):
+        nodes = nodes_at(split, level, above, runs, similarity)
         counts = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("first")).where("n > 1")
         shared = cut(nodes.join(counts, "key"))
         small = shared.where(F.col("n") <= SMALL).select("key", "rid").join(records.select("rid", "minima"), "rid")
         found.append(bucket_edges(small.select("key", "rid", "minima"), similarity))
         large = shared.where(F.col("n") > SMALL)
-        if level == depth:
+        if level == levels[-1]:
             found.append(large.where("rid <> first").select(F.col("rid").alias("a"), F.col("first").alias("b")))
         elif large.isEmpty():
             break

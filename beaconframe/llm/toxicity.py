@@ -295,7 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     share = totals.toxic / totals.n
     expected = F.col("n") * F.lit(share)
     telling = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share) + 1)
-    top = count_features(sample, costs).where((F.col("toxic") >= MIN_TOXIC) & (F.col("toxic") > 3 * expected)).orderBy(F.desc(telling), "feature").limit(keep)
+    odds = (F.col("toxic") + 0.5) / (F.col("n") - F.col("toxic") + 0.5)
+    top = count_features(sample, costs).where((F.col("toxic") >= MIN_TOXIC) & (odds > 3 * share / (1 - share))).orderBy(F.desc(telling), "feature").limit(keep)
     model = ToxicityModel(costs, [r.feature for r in top.collect()])
     if not model.features:
         return model
