@@ -1,6 +1,6 @@
 """Queries over the model's tables; importing this package registers them all."""
 
-from . import joins, search, sets, stats, streams, text
+from . import joins, more, search, sets, stats, streams, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "joins", "search", "sets", "stats", "streams", "text"]
+__all__ = ["ORACLES", "QUERIES", "joins", "more", "search", "sets", "stats", "streams", "text"]
