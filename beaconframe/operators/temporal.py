@@ -56,14 +56,13 @@ def sessions(calls: DataFrame, keys: list[str], gap_ms: int) -> DataFrame:
     return calls.withColumn("opens", opens).withColumn("session", F.sum("opens").over(w)).drop("opens")
 
 
-def fired(calls: DataFrame, keys: list[str], cooldown_ms: int, piece_ms: int) -> DataFrame:
+def fired(calls: DataFrame, keys: list[str], cooldown_ms: int) -> DataFrame:
     """Which calls fire: those at least the cooldown after the last one that fired.
 
     What fires depends on all that fired before, so a channel's times are folded
     in order.  A gap of the cooldown or more makes the fold begin anew, so a
     channel is cut at such gaps and each run is folded by itself; only a channel
-    that is never quiet for that long is one run.  ``piece_ms`` is not needed for
-    that and kept for streams with their own cuts.
+    that is never quiet for that long is one run.
     """
     runs = sessions(calls, keys, cooldown_ms - 1)
     grouped = runs.groupBy(*keys, "session").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "call_id"))).alias("rows"))

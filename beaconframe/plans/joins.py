@@ -284,12 +284,12 @@ COOLDOWN = """WITH RECURSIVE {calls}, o AS (SELECT call_id, ts_ms, {keys} FROM c
 
 @query("w07_cooldown", COOLDOWN.format(calls=CALLS, keys="talkgroup_ref", fkeys="f.talkgroup_ref", okeys="o.talkgroup_ref", match="o.talkgroup_ref = f.talkgroup_ref", ms=7_200_000, where="k < 30"))
 def w07(spark, sf):
-    return temporal.fired(calls(spark, sf).where("k < 30"), ["talkgroup_ref"], 7_200_000, 0)
+    return temporal.fired(calls(spark, sf).where("k < 30"), ["talkgroup_ref"], 7_200_000)
 
 
 @query("w08_repeat_suppression", COOLDOWN.format(calls=CALLS, keys="system_ref", fkeys="f.system_ref", okeys="o.system_ref", match="o.system_ref = f.system_ref", ms=14_400_000, where="k % 7 = 0"))
 def w08(spark, sf):
-    return temporal.fired(calls(spark, sf).where("k % 7 = 0"), ["system_ref"], 14_400_000, 0)
+    return temporal.fired(calls(spark, sf).where("k % 7 = 0"), ["system_ref"], 14_400_000)
 
 
 @query(

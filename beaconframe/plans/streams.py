@@ -113,7 +113,7 @@ def t31(spark, sf):
 def t33(spark, sf):
     """Fixed windows that open with the first call after the last one closed."""
     c = calls(spark, sf)
-    opens = temporal.fired(c, ["unit_ref"], 86_400_000, 0).join(c.select("call_id", F.col("ts_ms").alias("window_ms")), "call_id").select("unit_ref", "call_id", "window_ms")
+    opens = temporal.fired(c, ["unit_ref"], 86_400_000).join(c.select("call_id", F.col("ts_ms").alias("window_ms")), "call_id").select("unit_ref", "call_id", "window_ms")
     from pyspark.sql import Window
 
     w = Window.partitionBy("unit_ref").orderBy("ts_ms", "call_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -79,7 +79,7 @@ def test_arrivals(spark):
     calls = spark.createDataFrame(rows, "call_id bigint, ts_ms bigint, channel bigint, duration double")
     assert {r.call_id for r in temporal.chained_duplicates(calls, ["channel"], 1000).where("duplicate").collect()} == {2, 4}
     assert {r.call_id: r.prior for r in temporal.prior_arrival(calls, ["channel"], 1000).where("prior is not null").collect()} == {2: 1}
-    assert {r.call_id for r in temporal.fired(calls, ["channel"], 1500, 0).collect()} == {1, 3, 5}
+    assert {r.call_id for r in temporal.fired(calls, ["channel"], 1500).collect()} == {1, 3, 5}
 
 
 def test_band_join_edges(spark):
