@@ -51,8 +51,8 @@ PAIR, WORD, SPELL = 0.12, 0.58, 0.30
 #: Byte n-grams of a spelling: lengths, and their weights; what is left is spread evenly.
 GRAMS = (2, 3, 5)
 GRAM_WEIGHTS = (0.20, 0.35, 0.44)
-SEGMENT_TOKENS = 4_000_000
-CACHE_WORDS = 300_000
+SEGMENT_TOKENS = 2_000_000
+CACHE_WORDS = 200_000
 GRAM_CACHE = 1 << 19
 #: Kinds of members.
 K_WORD, K_PAIR, K_GRAM, K_CONTEXT = 1, 2, 3, 4
@@ -218,7 +218,7 @@ def pair_blocks(train: DataFrame, segments: int) -> DataFrame:
             inside = ids[1:] != start
             held.append(pair_keys(ids[:-1], ids[1:])[inside])
             size += len(ids)
-            if size > 3_000_000:
+            if size > 2_000_000:
                 yield from _blocks(np.concatenate(held), np.ones(sum(map(len, held)), np.int64), segments)
                 held, size = [], 0
         if held:
@@ -302,7 +302,7 @@ def build_filter(train: DataFrame, vocabulary: DataFrame, tokens: int, distinct:
                     now, keys, counts = segment, [], []
                 keys.append(np.frombuffer(batch.column("keys")[i].as_buffer(), np.uint64).copy())
                 counts.append(np.frombuffer(batch.column("counts")[i].as_buffer(), "<u4").astype(np.int64))
-                if len(keys) > 1 and sum(map(len, keys[1:])) > max(4_000_000, len(keys[0])):
+                if len(keys) > 1 and sum(map(len, keys[1:])) > max(2_000_000, len(keys[0])):
                     a, b = _summed(np.concatenate(keys), np.concatenate(counts))
                     keys, counts = [a], [b]
         if now is not None:
