@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import stats
-from ..sources.adapters import CALLS, DAY, HOUR, MINUTE, SYSTEMS, TALKGROUPS, calls, last_moment, systems, table, talkgroups
+from ..sources.adapters import CALLS, DAY, HOUR, SYSTEMS, TALKGROUPS, calls, last_moment, systems, table, talkgroups
 from .registry import query
 
 NOW = "now AS (SELECT max(ts_ms) AS t FROM calls)"
