@@ -84,3 +84,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 def word_count(text: Column) -> Column:
     """Number of runs of bytes other than SPACES, without a Python worker."""
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+
+
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """The rows of ``docs`` as one column `row`, beside ``more``: no column of theirs can clash with ours."""
+    return docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def named(column: str, of: str = "") -> Column:
+    """A column by its exact name, whatever characters that has."""
+    quoted = column.replace("`", "``")
+    return F.col(f"{of}.`{quoted}`" if of else f"`{quoted}`").alias(column)
+
+
+def unpacked(columns: list[str], **changed: Column) -> list[Column]:
+    """The columns of packed rows again; those in ``changed`` are replaced."""
+    return [changed[c].alias(c) if c in changed else named(c, "row") for c in columns]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, slim
+from .common import cut, packed, slices, slim, unpacked
 
 MIN_WORDS = 5
 NO_ID = (1 << 63) - 1
@@ -160,16 +160,15 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of ``docs`` with repeated blocks of lines deleted from ``text``, and __removed_lines, __removed_words, __partners."""
-    gone = deletions(docs, min_words).select(F.col("id").alias("__id"), F.col("text_key").alias("__key"), F.col("removed").alias("__removed"), F.col("removed_words").alias("__removed_words"), F.col("partners").alias("__partners"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__key": F.xxhash64(F.coalesce("text", F.lit("")))})
-    lines = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n"))
-    joined = keyed.join(gone.hint("shuffle_hash"), ["__id", "__key"], "left").withColumn("__lines", F.when(F.col("__removed").isNotNull(), lines))
-    return joined.select(
-        *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size("__removed"), F.lit(0)).alias("__removed_lines"),
-        F.coalesce("__removed_words", F.lit(0)).cast("long").alias("__removed_words"),
-        F.coalesce("__partners", F.lit(0)).alias("__partners"),
-    )
+    """row (the columns of ``docs``, as they were), text (without repeated blocks of lines), removed_lines, removed_words, partners."""
+    gone = deletions(docs, min_words)
+    rows = packed(docs, id=F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text_key=F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    joined = rows.join(gone.hint("shuffle_hash"), ["id", "text_key"], "left").withColumn("lines", F.when(F.col("removed").isNotNull(), F.split("row.text", "\n", -1)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
+    return joined.select("row", text.alias("text"), F.coalesce(F.size("removed"), F.lit(0)).alias("removed_lines"), F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"), F.coalesce("partners", F.lit(0)).alias("partners"))
+
+
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs`` without repeated blocks of lines; columns as in ``docs``."""
+    return without_repeats(docs, min_words).select(*unpacked(docs.columns, text=F.col("text")))

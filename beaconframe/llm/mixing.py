@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, packed, unpacked, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -130,9 +130,9 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = C
     """The rows of ``docs``, each as often as the mix takes it; columns as in ``docs``."""
     sizes = cut(sized(docs))
     plan = rounded(sizes, cut(rates(sizes, weights, share, cap)), cap)
-    counts = plan.groupBy(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("row_key").alias("__key")).agg(F.array_sort(F.collect_list("copies")).alias("__copies"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    same = Window.partitionBy("__id", "__key").orderBy("__key")
-    numbered = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__key": F.xxhash64(F.col("doc_id").cast("long"), text)}).withColumn("__n", F.row_number().over(same))
-    taken = numbered.join(counts, ["__id", "__key"]).withColumn("__times", F.element_at("__copies", F.col("__n")))
-    return taken.where(F.col("__times") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    counts = plan.groupBy(row_id.alias("id"), F.col("row_key").alias("key")).agg(F.array_sort(F.collect_list("copies")).alias("copies"))
+    rows = packed(docs, id=row_id, key=F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))))
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("id", "key").orderBy("key")))
+    taken = numbered.join(counts, ["id", "key"]).withColumn("times", F.element_at("copies", F.col("n")))
+    return taken.where(F.col("times") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*unpacked(docs.columns))

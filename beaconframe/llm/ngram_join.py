@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, slim
+from .common import cut, packed, slices, slim, unpacked
 from .graph import components
 
 WORDS = 5
@@ -399,6 +399,7 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, words: int = WO
     groups = similar_documents(docs, similarity, words, recall)
     # Classes without an id have none in common but their set.
     name = F.when(F.col("class_id").isNull(), F.col("set_key"))
-    kept = groups.groupBy("class_id", name.alias("name")).agg(F.min(F.struct(F.when(F.col("doc_id") == F.col("class_id"), 0).otherwise(1).alias("other"), ids.alias("id"), "text_key")).alias("m")).select(F.col("m.id").alias("__id"), F.col("m.text_key").alias("__key"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__key": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(kept, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    best = F.min(F.struct(F.when(F.col("doc_id") == F.col("class_id"), 0).otherwise(1).alias("other"), ids.alias("id"), "text_key"))
+    kept = groups.groupBy("class_id", name.alias("name")).agg(best.alias("m")).select("m.id", "m.text_key")
+    rows = packed(docs, id=F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text_key=F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return rows.join(kept, ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"]).select(*unpacked(docs.columns))

@@ -54,9 +54,8 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = line_dedup.without_repeats(docs)
-    return done.select("doc_id", F.col("__removed_lines").alias("removed_lines"), F.col("__removed_words").alias("removed_words"), F.col("__partners").alias("partners"), "text")
+    done = line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("row.doc_id", "removed_lines", "removed_words", "partners", "text")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,8 +34,8 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(*r, "x", 1, 2.0) for r in ROWS]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, source string, score string, n_tokens int, text_key double").repartition(3)
+    rows = [(*r, "x", 1, 2.0, "y", 3, 4) for r in ROWS]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string, score string, n_tokens int, text_key double, id string, `a.b` int, row int").repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -240,7 +240,8 @@ def test_mixing_comes_near(spark):
 
 
 def test_line_dedup(docs, none):
-    got = {(r.doc_id, r.text) for r in line_dedup.without_repeats(docs).collect()}
+    assert line_dedup.deduplicated(docs).columns == docs.columns
+    got = {(r.doc_id, r.text) for r in line_dedup.deduplicated(docs).collect()}
     texts = collections.defaultdict(set)
     for i, t in got:
         texts[i].add(t)
@@ -250,14 +251,14 @@ def test_line_dedup(docs, none):
     assert texts[4] == {None} and texts[5] == {""} and texts[6] == {"   \n\n "} and texts[9] == {"alpha beta"}
     assert texts[100] == {ROWS[-40][1]} and all(texts[100 + i] == {""} for i in range(1, 40))
     assert texts[8] == {ROWS[7][1]}
-    assert line_dedup.without_repeats(docs).count() == len(ROWS)
+    assert line_dedup.deduplicated(docs).count() == len(ROWS)
     assert line_dedup.without_repeats(none).count() == 0
 
 
 def test_line_dedup_moved_lines(spark):
     a, b, c = ("first line of six words here", "second line of six words here", "third line of six words here")
     rows = [(1, "\n".join((a, b, c))), (2, "\n".join((c, a, b))), (3, "\n".join((b, "", b)))]
-    got = {r.doc_id: r.text for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: "\n".join((a, b, c)), 2: c, 3: "\n" + b}
 
 
