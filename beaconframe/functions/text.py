@@ -97,8 +97,8 @@ def has_alert_voice(text: Column) -> Column:
 
 
 def has_emergency_word(text: Column) -> Column:
-    low = F.lower(text)
-    return reduce(lambda a, w: a | F.contains(low, F.lit(w.lower())), EMERGENCY, F.lit(False))
+    # Each element is tested against the text once more in lower case, in one loop over a constant array.
+    return F.exists(F.transform(F.array(F.lower(text)), lambda low: F.exists(F.array(*[F.lit(w.lower()) for w in EMERGENCY]), lambda w: F.contains(low, w))), lambda hit: hit)
 
 
 def place_key(name: Column) -> Column:

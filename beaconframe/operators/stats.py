@@ -59,25 +59,25 @@ def counters(calls: DataFrame, as_of: int) -> DataFrame:
     return calls.agg(since(as_of // DAY * DAY).alias("today"), since(as_of - MINUTE).alias("last_minute"), since(as_of - HOUR).alias("last_hour"))
 
 
-def category(transcript: Column, part: int = 0) -> Column:
-    """The first category that the text has a substring of (``part`` 1: its parent), or null."""
-    low = F.lower(transcript)
+def category_number(lower_text: Column) -> Column:
+    """The number, from 1, of the first category that the lower-case text has a substring of, or null."""
     out = None
-    for row in CATEGORIES:
-        hit = F.lit(False)
-        for words in row[2].split(", "):
-            hit = hit | low.contains(words)
-        out = F.when(hit, row[part]) if out is None else out.when(hit, row[part])
+    for i, (_, _, words) in enumerate(CATEGORIES, 1):
+        # One loop over a constant array: a chain of 120 tests makes a method too large to be compiled.
+        hit = F.exists(F.array(*[F.lit(w) for w in words.split(", ")]), lambda w: F.contains(lower_text, w))
+        out = F.when(hit, i) if out is None else out.when(hit, i)
     return out
 
 
 def incident_summary(transcripts: DataFrame) -> DataFrame:
-    """parent, category, calls of each, and the parent's calls; parents without calls have no row."""
-    found = transcripts.select(category(F.col("transcript"), 1).alias("parent"), category(F.col("transcript")).alias("category")).where("category is not null")
-    counted = found.groupBy("parent", "category").agg(F.count(F.lit(1)).alias("calls"))
+    """place, parent, category, calls of each, and the parent's calls; parents without calls have no row."""
+    lowered = transcripts.select(F.lower("transcript").alias("low"))  # once, not for each substring
+    counted = lowered.select(category_number(F.col("low")).alias("number")).where("number is not null").groupBy("number").agg(F.count(F.lit(1)).alias("calls"))
+    of = lambda part: F.element_at(F.array(*[F.lit(c[part]) for c in CATEGORIES]), F.col("number"))
+    named = counted.select(of(1).alias("parent"), of(0).alias("category"), "calls")
     order = F.array_position(F.array(*[F.lit(p) for p in PARENTS]), F.col("parent"))
-    total = counted.groupBy("parent").agg(F.sum("calls").alias("parent_calls"))
-    return counted.join(F.broadcast(total), "parent").select(order.alias("place"), "parent", "category", "calls", "parent_calls")
+    total = named.groupBy("parent").agg(F.sum("calls").alias("parent_calls"))
+    return named.join(F.broadcast(total), "parent").select(order.alias("place"), "parent", "category", "calls", "parent_calls")
 
 
 def marginals(rows: DataFrame, first: str, second: str) -> DataFrame:
