@@ -17,9 +17,12 @@ Counts cover all training documents.  Word counts are summed exactly, pre-added
 in each task; pairs move as packed blocks of (64-bit pair hash, count), merged by
 hash range, and each range fills its own segment of the filter, so segments are
 simply laid end to end.  The filter's size is about ``BITS_PER_TOKEN`` bits for
-each training token and ``BITS_PER_WORD`` for each distinct word, and ``MAX_BITS``
-at most (64 MB), whatever the input: that bounds what is broadcast.  Beyond it nothing is left out, only false positives
-grow.
+each training token and ``BITS_PER_WORD`` for each distinct word, however large
+the input, so the rate of false positives does not grow with it.  A filter of
+``SENT_BITS`` (64 MB) or less is broadcast.  A larger one is never in one place:
+each group of documents asks for its distinct n-grams, the questions are dealt to
+the segments, each of which is filled, answers and is dropped, and the levels
+return to their group.  Both ways give the same scores.
 
 The base score needs exact counts: those of the ``FREQUENT`` most frequent words
 at most are broadcast; the remaining words' counts are joined to the documents'
@@ -45,7 +48,10 @@ BASE = 1.4
 PROBES = 3
 BITS_PER_TOKEN = 5
 BITS_PER_WORD = 40
-MAX_BITS = 1 << 29
+#: The largest filter that is broadcast; it does not limit the filter's size.
+SENT_BITS = 1 << 29
+#: Characters of the documents that ask together when the filter is not broadcast.
+GROUP_CHARS = 8_000_000
 FREQUENT = 100_000
 PAIR, WORD, SPELL = 0.12, 0.58, 0.30
 #: Byte n-grams of a spelling: lengths, and their weights; what is left is spread evenly.
@@ -278,19 +284,44 @@ def vocabulary_blocks(vocabulary: DataFrame, segments: int) -> DataFrame:
     return vocabulary.select("word", "n").mapInArrow(run, BLOCK_SCHEMA)
 
 
-def build_filter(train: DataFrame, vocabulary: DataFrame, tokens: int, distinct: int, max_bits: int = MAX_BITS) -> LogFilter:
-    """The filter over ``train`` (which has ``tokens`` tokens, ``distinct`` different ones); of at most ``max_bits`` bits."""
-    segments = max(8, -(-tokens // SEGMENT_TOKENS))
-    out = LogFilter(min(max_bits, max(1 << 16, BITS_PER_TOKEN * tokens + BITS_PER_WORD * distinct)), segments, tokens)
+class Tally:
+    """N-grams and their counts, added up block by block."""
+
+    def __init__(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+
+    def add(self, keys: bytes | pa.Buffer, counts: bytes | pa.Buffer) -> None:
+        self.keys.append(np.frombuffer(keys, np.uint64).copy())
+        self.counts.append(np.frombuffer(counts, "<u4").astype(np.int64))
+        if len(self.keys) > 1 and sum(map(len, self.keys[1:])) > max(2_000_000, len(self.keys[0])):
+            keys, counts = self.summed()
+            self.keys, self.counts = [keys], [counts]
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.keys:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return _summed(np.concatenate(self.keys), np.concatenate(self.counts))
+
+
+def layout(tokens: int, distinct: int) -> tuple[int, int]:
+    """Bits and segments of a filter over ``tokens`` tokens, ``distinct`` different ones."""
+    return max(1 << 16, BITS_PER_TOKEN * tokens + BITS_PER_WORD * distinct), max(8, -(-tokens // SEGMENT_TOKENS))
+
+
+def build_filter(train: DataFrame, vocabulary: DataFrame, tokens: int, distinct: int) -> LogFilter:
+    """The whole filter over ``train`` (which has ``tokens`` tokens, ``distinct`` different ones), for broadcasting."""
+    bits, segments = layout(tokens, distinct)
+    out = LogFilter(bits, segments, tokens)
     segment_bits = out.segment_bits
     blocks = pair_blocks(train, segments).unionByName(vocabulary_blocks(vocabulary, segments))
     dealt = blocks.repartition(segments, "segment").sortWithinPartitions("segment")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, counts = None, [], []
+        now, tally = None, Tally()
 
         def done() -> pa.RecordBatch:
-            data = LogFilter.segment(*_summed(np.concatenate(keys), np.concatenate(counts)), segment_bits)
+            data = LogFilter.segment(*tally.summed(), segment_bits)
             return pa.record_batch([pa.array([now], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["segment", "data"])
 
         for batch in batches:
@@ -299,28 +330,137 @@ def build_filter(train: DataFrame, vocabulary: DataFrame, tokens: int, distinct:
                 if segment != now:
                     if now is not None:
                         yield done()
-                    now, keys, counts = segment, [], []
-                keys.append(np.frombuffer(batch.column("keys")[i].as_buffer(), np.uint64).copy())
-                counts.append(np.frombuffer(batch.column("counts")[i].as_buffer(), "<u4").astype(np.int64))
-                if len(keys) > 1 and sum(map(len, keys[1:])) > max(2_000_000, len(keys[0])):
-                    a, b = _summed(np.concatenate(keys), np.concatenate(counts))
-                    keys, counts = [a], [b]
+                    now, tally = segment, Tally()
+                tally.add(batch.column("keys")[i].as_buffer(), batch.column("counts")[i].as_buffer())
         if now is not None:
             yield done()
 
     size = segment_bits // 8
-    for row in dealt.mapInArrow(fill, "segment int, data binary").toLocalIterator():  # max_bits in all
+    for row in dealt.mapInArrow(fill, "segment int, data binary").toLocalIterator():  # the filter's bits in all
         out.data[row.segment * size : (row.segment + 1) * size] = np.frombuffer(row.data, np.uint8)
     return out
 
 
+# ---------------------------------------------------------------- a filter that is not broadcast
+
+
+def in_groups(docs: DataFrame, chars: int = GROUP_CHARS) -> DataFrame:
+    """doc_id, text, group: documents of one task, about ``chars`` characters of them, form a group; written once, so that it stays the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        group, held = TaskContext.get().partitionId() << 32, 0
+        for batch in slices(batches):
+            yield batch.append_column("group", pa.array(np.full(batch.num_rows, group)))
+            held += pa.compute.sum(pa.compute.binary_length(batch.column("text"))).as_py()
+            if held >= chars:
+                group, held = group + 1, 0
+
+    return cut(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, group long"))
+
+
+def asked(texts: list[str], segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All n-grams that scoring these texts may probe, ascending; the order that sorts them by segment; and their segments in that order."""
+    tokens: list[bytes] = []
+    for text in texts:
+        tokens.append(START.encode())
+        tokens += words_of(text)
+        tokens.append(END.encode())
+    words = list({*tokens})
+    hashes = word_hashes(words)
+    keys = [mixed(hashes, K_WORD)]
+    for i in range(0, len(words), 20_000):
+        spelled = [w for w in words[i : i + 20_000] if w not in (END.encode(), START.encode())]
+        if spelled:
+            data = _padded(spelled)
+            spots, _ = spelling_spots(spelled)
+            keys += [np.unique(found[spots]) for length in GRAMS for found in gram_keys(data, length)]
+    index = dict(zip(words, hashes.tolist()))
+    ids = np.fromiter(map(index.__getitem__, tokens), np.uint64, len(tokens))
+    keys.append(pair_keys(ids[:-1], ids[1:])[ids[1:] != np.uint64(index[START.encode()])])
+    found = np.unique(np.concatenate(keys))
+    where = LogFilter.segment_of(found, segments).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    return found, order, where[order]
+
+
+def questions(grouped: DataFrame, segments: int) -> DataFrame:
+    """segment, group, keys: what each group asks of each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, texts = None, []
+
+        def ask() -> pa.RecordBatch:
+            found, order, where = asked(texts, segments)
+            cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+            parts = [k.tobytes() for k in np.split(found[order], cuts[1:])]
+            return pa.record_batch([pa.array(where[cuts], pa.int32()), pa.array([group] * len(cuts), pa.int64()), pa.array(parts, pa.binary())], names=["segment", "group", "keys"])
+
+        for batch in batches:
+            for g, text in zip(batch.column("group").to_pylist(), batch.column("text").to_pylist()):
+                if g != group:
+                    if texts:
+                        yield ask()
+                    group, texts = g, []
+                texts.append(text)
+        if texts:
+            yield ask()
+
+    dealt = grouped.select("group", "text").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(run, "segment int, group long, keys binary")
+
+
+def answers(train: DataFrame, vocabulary: DataFrame, grouped: DataFrame, tokens: int, distinct: int) -> DataFrame:
+    """group, segment, levels: a byte for each n-gram that the group asked the segment for."""
+    bits, segments = layout(tokens, distinct)
+    segment_bits = max(64, bits // segments // 8 * 8)
+    blocks = pair_blocks(train, segments).unionByName(vocabulary_blocks(vocabulary, segments)).withColumn("group", F.lit(-1).cast("long"))
+    asking = questions(grouped, segments).withColumn("counts", F.lit(None).cast("binary"))
+    dealt = blocks.unionByName(asking).repartition(segments, "segment").sortWithinPartitions("segment", "group")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tally, part = None, Tally(), None
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                segment, group, keys = batch.column("segment")[i].as_py(), batch.column("group")[i].as_py(), batch.column("keys")[i].as_buffer()
+                if segment != now:
+                    now, tally, part = segment, Tally(), None
+                if group < 0:
+                    tally.add(keys, batch.column("counts")[i].as_buffer())
+                    continue
+                if part is None:
+                    part = LogFilter(segment_bits, 1, tokens)
+                    part.data = LogFilter.segment(*tally.summed(), segment_bits)
+                    tally = Tally()
+                out.append((group, segment, part.level(np.frombuffer(keys, np.uint64)).astype(np.uint8).tobytes()))
+            yield pa.record_batch([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["group", "segment", "levels"])
+
+    return dealt.mapInArrow(run, "group long, segment int, levels binary")
+
+
+class Answers:
+    """What a group was told, in place of the filter."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        self.keys, self.levels = keys, levels
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        assert (self.keys[at] == keys).all(), "an n-gram that was not asked for"
+        return self.levels[at]
+
+    count = LogFilter.count
+
+
 # ---------------------------------------------------------------- scoring
 
 
 class Scorer:
     """Mixture probabilities of words, worked out once for each word that a worker's cache holds."""
 
-    def __init__(self, model: LogFilter, mass: float, frequent: dict[str, int]):
+    def __init__(self, model: LogFilter | Answers | None, mass: float, frequent: dict[str, int]):
         self.model = model
         self.mass = mass  # sum of the words' quantised counts
         self.exact = {w.encode(): n for w, n in frequent.items()}
@@ -451,38 +591,89 @@ def frequent_words(vocabulary: DataFrame, most: int = FREQUENT) -> tuple[dict[st
     return {r.word: r.n for r in chosen.collect()}, least or (1 << 62)
 
 
-def lm_scores(docs: DataFrame, train: Column, frequent: int = FREQUENT, max_bits: int = MAX_BITS) -> DataFrame:
+SCORED_SCHEMA = "doc_id long, text_key long, n_tokens long, known long, base double, score double, words array<string>, times array<int>"
+
+
+def _scored(scorer: Scorer, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+    from xxhash import xxh3_64_intdigest
+
+    (n, known, base, score), words, times = scorer.score(texts)
+    keys = np.array([xxh3_64_intdigest(t.encode()) for t in texts], np.uint64).view(np.int64)
+    return pa.record_batch(
+        [ids, pa.array(keys), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))],
+        names=["doc_id", "text_key", "n_tokens", "known", "base", "score", "words", "times"],
+    )
+
+
+def scored_by_broadcast(docs: DataFrame, model: LogFilter, mass: float, common: dict[str, int]) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((model, mass, common))
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = kept_scorer(name, sent.value)
+        for batch in slices(batches):
+            yield _scored(scorer, batch.column("doc_id"), batch.column("text").to_pylist())
+
+    return docs.mapInArrow(run, SCORED_SCHEMA)
+
+
+def scored_by_segments(grouped: DataFrame, told: DataFrame, segments: int, mass: float, common: dict[str, int]) -> DataFrame:
+    """As by broadcast; ``told`` has the levels that each group of ``grouped`` needs."""
+    sent = grouped.sparkSession.sparkContext.broadcast((None, mass, common))
+    name = uuid.uuid4().hex
+    tasks = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts_of = grouped.select("group", F.lit(-1).alias("segment"), "doc_id", "text", F.lit(None).cast("binary").alias("levels"))
+    levels_of = told.select("group", "segment", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "levels")
+    dealt = texts_of.unionByName(levels_of).repartition(tasks, "group").sortWithinPartitions("group", "segment")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = kept_scorer(name, sent.value)
+        group, ids, texts, levels = None, [], [], []
+
+        def score() -> Iterator[pa.RecordBatch]:
+            keys, order, _ = asked(texts, segments)
+            found = np.empty(len(keys), np.int64)
+            found[order] = np.frombuffer(b"".join(levels), np.uint8)
+            scorer.model = Answers(keys, found)
+            for part in slices([pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])]):
+                yield _scored(scorer, part.column("doc_id"), part.column("text").to_pylist())
+
+        for batch in batches:
+            for g, segment, doc_id, text, level in zip(*(batch.column(n).to_pylist() for n in ("group", "segment", "doc_id", "text", "levels"))):
+                if g != group:
+                    if texts:
+                        yield from score()
+                    group, ids, texts, levels = g, [], [], []
+                if segment < 0:
+                    ids.append(doc_id)
+                    texts.append(text)
+                else:
+                    levels.append(level)
+        if texts:
+            yield from score()
+
+    return dealt.mapInArrow(run, SCORED_SCHEMA)
+
+
+def lm_scores(docs: DataFrame, train: Column, frequent: int = FREQUENT, sent_bits: int = SENT_BITS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``; it learns from the rows where ``train`` holds.
 
     Scores are log10 probabilities.  The base score is that of add-one smoothed
     single tokens, from exact counts.
     """
-    spark = docs.sparkSession
     whole = slim(docs)
     learned = slim(docs.where(train)).select("text")
     vocabulary = cut(word_counts(learned))
     totals = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v"), F.sum(F.ceil(F.pow(F.lit(BASE), F.floor(F.log("n") / math.log(BASE) + 1e-9)) - 1e-6)).alias("mass")).collect()[0]
     total, distinct = totals.n, totals.v
-    model = build_filter(learned, vocabulary.where("n > 0"), total, distinct, max_bits)
     common, _ = frequent_words(vocabulary, frequent)
-    sent = spark.sparkContext.broadcast((model, float(totals.mass or 0), common))
-    name = uuid.uuid4().hex
-    schema = "doc_id long, text_key long, n_tokens long, known long, base double, score double, words array<string>, times array<int>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
-        scorer = kept_scorer(name, sent.value)
-        for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
-            (n, known, base, score), words, times = scorer.score(texts)
-            keys = np.array([xxh3_64_intdigest(t.encode()) for t in texts], np.uint64).view(np.int64)
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(keys), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))],
-                names=["doc_id", "text_key", "n_tokens", "known", "base", "score", "words", "times"],
-            )
-
-    scored = cut(whole.mapInArrow(run, schema))
+    words, mass = vocabulary.where("n > 0"), float(totals.mass or 0)
+    bits, segments = layout(total, distinct)
+    if bits <= sent_bits:
+        scored = cut(scored_by_broadcast(whole, build_filter(learned, words, total, distinct), mass, common))
+    else:
+        grouped = in_groups(whole)
+        scored = cut(scored_by_segments(grouped, answers(learned, words, grouped, total, distinct), segments, mass, common))
     # Equal rows (same id and text) share a key; `share` undoes that their rare words are counted once for each.
     rare = scored.where(F.size("words") > 0).select("doc_id", "text_key", F.posexplode(F.arrays_zip("words", "times")).alias("pos", "x")).select("doc_id", "text_key", (F.col("pos") == 0).cast("long").alias("first"), F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     counted = rare.join(vocabulary.where("n > 0"), "word", "left")

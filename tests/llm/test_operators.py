@@ -137,6 +137,22 @@ def test_lm_probabilities_do_not_exceed_one(docs, spark):
     assert all(v < 0 for v in got.values())
 
 
+def test_lm_filter_grows_beyond_what_is_broadcast(docs, none, monkeypatch):
+    """However little is broadcast, the scores are those of the whole filter."""
+    train = fold("doc_id", 7) != 2
+    monkeypatch.setattr(lm, "SEGMENT_TOKENS", 2_000)
+    whole = lm.lm_scores(docs, train, 3).collect()
+    parted = lm.lm_scores(docs, train, 3, 1 << 10).collect()
+    assert multiset((*r[:4], round(r.base_score, 6), round(r.score, 6)) for r in parted) == multiset((*r[:4], round(r.base_score, 6), round(r.score, 6)) for r in whole)
+    assert lm.lm_scores(none, train, 3, 1 << 10).count() == 0
+
+
+def test_lm_false_positives_do_not_grow():
+    for tokens in (1 << 20, 200_000_000, 5_000_000_000):
+        bits, segments = lm.layout(tokens, tokens // 100)
+        assert bits >= lm.BITS_PER_TOKEN * tokens and -(-tokens // segments) <= lm.SEGMENT_TOKENS
+
+
 def test_quality(docs, labels, none):
     forest = quality.fit(docs, labels, trees=5)
     got = quality.quality_scores(docs, forest).collect()
