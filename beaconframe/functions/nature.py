@@ -17,7 +17,7 @@ def stem_equal(a: Column, b: Column) -> Column:
     shared = F.aggregate(F.sequence(F.lit(1), F.least(F.length(a), F.length(b))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substr(a, F.lit(1), i) == F.substr(b, F.lit(1), i)), i).otherwise(n))
     both_ly = F.endswith(a, F.lit("LY")) == F.endswith(b, F.lit("LY"))
     suffix = lambda x: F.substr(x, shared + 1).isin("", "S", "ES", "ED", "ING", "ER", "ERS", "ION", "LY", "E")
-    return (F.length(a) >= 5) & (F.length(b) >= 5) & (shared >= 5) & (F.length(a) - shared <= 3) & (F.length(b) - shared <= 3) & both_ly & suffix(a) & suffix(b)
+    return (F.length(a) >= 5) & (F.length(b) >= 5) & (F.left(a, F.lit(5)) == F.left(b, F.lit(5))) & (shared >= 5) & (F.length(a) - shared <= 3) & (F.length(b) - shared <= 3) & both_ly & suffix(a) & suffix(b)
 
 
 def term_matches(token: Column, term: Column, following: Column) -> Column:
@@ -34,11 +34,15 @@ def evidence(transcripts: DataFrame, phrases: DataFrame) -> DataFrame:
     list, whose size is checked before it is broadcast).
     """
     listed = phrases.select("label", tokens(F.col("phrase")).alias("terms")).where("size(terms) > 0")
-    listed = F.broadcast(listed) if listed.count() <= 5_000 else listed
+    size = listed.agg(F.count(F.lit(1)).alias("phrases"), F.coalesce(F.max(F.size("terms")), F.lit(1)).alias("longest")).collect()[0]
+    listed = F.broadcast(listed) if size.phrases <= 5_000 else listed
+    # Each token goes with the few after it that a phrase can reach, not with its whole transcript; a match has the term's first letter.
     words = transcripts.select("call_id", tokens(F.col("transcript")).alias("t"))
-    each = words.select("call_id", "t", F.posexplode("t").alias("at", "token"))
-    first = each.join(listed, term_matches(F.col("token"), F.get("terms", F.lit(0)), F.get("t", F.col("at") + 1)))
-    rest = F.forall(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: F.coalesce(term_matches(F.get("t", F.col("at") + i), F.get("terms", i), F.get("t", F.col("at") + i + 1)), F.lit(False)))
+    ahead = words.select("call_id", F.posexplode(F.transform("t", lambda _, i: F.slice("t", i + 1, size.longest + 1))).alias("at", "t"))
+    each = ahead.withColumn("token", F.get("t", F.lit(0)))
+    term = F.get("terms", F.lit(0))
+    first = each.join(listed, (F.left("token", F.lit(1)) == F.left(term, F.lit(1))) & term_matches(F.col("token"), term, F.get("t", F.lit(1))))
+    rest = F.forall(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: F.coalesce(term_matches(F.get("t", i), F.get("terms", i), F.get("t", i + 1)), F.lit(False)))
     hits = first.where(rest).select("call_id", "label", F.explode(F.sequence(F.col("at"), F.col("at") + F.size("terms") - 1)).alias("covered"), (F.size("terms") > 1).alias("many"), "at")
     return hits.groupBy("call_id", "label").agg((F.count_distinct("covered") + F.max(F.col("many").cast("int"))).cast("bigint").alias("score"), F.min("at").cast("bigint").alias("position"))
 

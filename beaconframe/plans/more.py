@@ -101,8 +101,7 @@ PHRASES = [("STRUCTURE FIRE", "structure fire"), ("FIRE ALARM", "fire alarm"), (
 
 
 def scored(spark, sf):
-    tails = transcripts(spark, sf).select("call_id", F.right("transcript", F.lit(30)).alias("transcript"))
-    return nature.evidence(tails, spark.createDataFrame(PHRASES, "label string, phrase string"))
+    return nature.evidence(transcripts(spark, sf), spark.createDataFrame(PHRASES, "label string, phrase string"))
 
 
 @query("f40_nature_evidence", f"WITH {MARK_SQL}, p(label, phrase) AS (VALUES {', '.join(str(p) for p in PHRASES)}), t AS (SELECT call_id, ' ' || trim(regexp_replace(upper(right(transcript, 30)), '[^A-Z0-9]+', ' ', 'g')) || ' ' AS u FROM transcripts) SELECT call_id, label, CASE WHEN contains(phrase, ' ') THEN 3 ELSE 1 END::BIGINT AS score FROM t JOIN p ON contains(u, ' ' || upper(phrase) || ' ')")
@@ -113,8 +112,7 @@ def f40(spark, sf):
 @query("f43_final_nature")
 def f43(spark, sf):
     best = nature.best_label(scored(spark, sf))
-    all_calls = transcripts(spark, sf).select("call_id", F.right("transcript", F.lit(30)).alias("transcript"))
-    joined = all_calls.join(best, "call_id", "left")
+    joined = transcripts(spark, sf).join(best, "call_id", "left")
     return joined.select("call_id", nature.with_fallback(nature.sanitise(F.col("transcript"), F.coalesce("label", F.lit("")))).alias("nature"))
 
 
