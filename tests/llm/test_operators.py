@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import math
 import zlib
 
 import pytest
@@ -10,7 +9,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from beaconframe.llm import bpe, fingerprint, line_dedup, lm, media, mixing, ngram_join, quality, tokencount, toxicity  # noqa: E402
+from beaconframe.llm import bpe, fingerprint, line_dedup, media, mixing, ngram_join, quality, tokencount, toxicity  # noqa: E402
 from beaconframe.llm.common import fold  # noqa: E402
 
 LONG = "word%d other. " * 20
@@ -100,59 +99,6 @@ def test_fingerprint_neighbours(docs, none, tasks):
     assert fingerprint.with_next(docs.where("doc_id = 7"), tasks).count() == 1
 
 
-def base_scores(train):
-    c = collections.Counter()
-    for i, t, _ in ROWS:
-        if train(i):
-            c.update(lm.words_of(t or ""))
-            c[None] += 1
-    total, distinct = sum(c.values()), len(c)
-    out = []
-    for i, t, _ in ROWS:
-        tokens = [*lm.words_of(t or ""), None]
-        out.append((i, len(tokens), sum(c[w] > 0 for w in tokens), total, round(sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in tokens), 4)))
-    return out
-
-
-@pytest.mark.parametrize("frequent", [3, 100_000])
-def test_lm(docs, none, frequent):
-    got = lm.lm_scores(docs, fold("doc_id", 7) != 2, frequent=frequent).collect()
-    want = base_scores(lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2)
-    assert multiset((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == multiset(want)
-    assert all(r.score < 0 for r in got)
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
-    assert lm.lm_scores(none, fold("doc_id", 7) != 2).count() == 0
-
-
-def test_lm_probabilities_do_not_exceed_one(docs, spark):
-    """Over the known words and the end, p(word | context) sums to one at most."""
-    texts = [t for _, t, _ in ROWS if t and len(t) < 5000]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    words = sorted({w for t in texts for w in lm.words_of(t)})
-    probe = spark.createDataFrame([(-1, "alpha")] + [(k, (b"alpha " + w).decode()) for k, w in enumerate(words)], "doc_id bigint, text string")
-    both = rows.selectExpr("doc_id + 1000000 as doc_id", "text").unionByName(probe)
-    from pyspark.sql import functions as F
-
-    got = {r.doc_id: r.score for r in lm.lm_scores(both, F.col("doc_id") >= 1_000_000).collect()}
-    assert all(v < 0 for v in got.values())
-
-
-def test_lm_filter_grows_beyond_what_is_broadcast(docs, none, monkeypatch):
-    """However little is broadcast, the scores are those of the whole filter."""
-    train = fold("doc_id", 7) != 2
-    monkeypatch.setattr(lm, "SEGMENT_TOKENS", 2_000)
-    whole = lm.lm_scores(docs, train, 3).collect()
-    parted = lm.lm_scores(docs, train, 3, 1 << 10).collect()
-    assert multiset((*r[:4], round(r.base_score, 6), round(r.score, 6)) for r in parted) == multiset((*r[:4], round(r.base_score, 6), round(r.score, 6)) for r in whole)
-    assert lm.lm_scores(none, train, 3, 1 << 10).count() == 0
-
-
-def test_lm_false_positives_do_not_grow():
-    for tokens in (1 << 20, 200_000_000, 5_000_000_000):
-        bits, segments = lm.layout(tokens, tokens // 100)
-        assert bits >= lm.BITS_PER_TOKEN * tokens and -(-tokens // segments) <= lm.SEGMENT_TOKENS
-
-
 def test_quality(docs, labels, none):
     forest = quality.fit(docs, labels, trees=5)
     got = quality.quality_scores(docs, forest).collect()

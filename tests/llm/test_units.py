@@ -9,7 +9,7 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
-from beaconframe.llm import bpe, fingerprint, line_dedup, lm, media, ngram_join, quality, tokencount, toxicity  # noqa: E402
+from beaconframe.llm import bpe, fingerprint, line_dedup, media, ngram_join, quality, tokencount, toxicity  # noqa: E402
 
 
 def random_text(rng, alphabets, most=150):
@@ -103,23 +103,7 @@ def test_edited():
     assert fingerprint.edited("a", "X") == "a" and fingerprint.edited("", "X") == ""
 
 
-def test_log_filter_counts():
-    rng = np.random.default_rng(3)
-    keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
-    counts = rng.integers(1, 1000, len(keys))
-    model = lm.LogFilter(1 << 22, 4)
-    where = lm.LogFilter.segment_of(keys, 4)
-    for s in range(4):
-        part = lm.LogFilter.segment(keys[where == s], counts[where == s], model.segment_bits)
-        model.data[s * len(part) : (s + 1) * len(part)] = part
-    got = model.count(keys)
-    assert (got <= np.ceil(counts * 2.0)).mean() > 0.98
-    assert (got * lm.BASE + 1 >= counts).all()
-    others = np.setdiff1d(rng.integers(0, 2**63, 5000).astype(np.uint64), keys)
-    assert (model.count(others) > 0).mean() < 0.01
-
-
-def test_words_and_shingles():
+def test_shingles():
     assert lm.words_of("AbÉ c\td\x0b e") == ["abÉ c".encode(), b"d", b"e"]
     s = ngram_join.Shingler()(["", "a b", "a b c d e", "A B c d e f", "a b c d e a b c d e"])
     assert [len(x) for x in s] == [0, 1, 1, 2, 5]
