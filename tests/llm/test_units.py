@@ -9,7 +9,7 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
-from beaconframe.llm import bpe, fingerprint, line_dedup, media, ngram_join, quality, tokencount, toxicity  # noqa: E402
+from beaconframe.llm import bpe, fingerprint, media, ngram_join, quality, tokencount, toxicity  # noqa: E402
 
 
 def random_text(rng, alphabets, most=150):
@@ -104,7 +104,6 @@ def test_edited():
 
 
 def test_shingles():
-    assert lm.words_of("AbÉ c\td\x0b e") == ["abÉ c".encode(), b"d", b"e"]
     s = ngram_join.Shingler()(["", "a b", "a b c d e", "A B c d e f", "a b c d e a b c d e"])
     assert [len(x) for x in s] == [0, 1, 1, 2, 5]
     assert set(s[2].tolist()) <= set(s[3].tolist())
@@ -123,13 +122,6 @@ def test_recall_needs_runs():
     assert ngram_join.survival(1) > ngram_join.survival(3) > 0.3
 
 
-def test_patience():
-    pairs = [(0, 5, 1, 9), (1, 6, 1, 9), (2, 0, 1, 9), (3, 7, 1, 2), (9, 8, 1, 3)]
-    assert line_dedup.patience([p[:3] for p in pairs]) == [0, 1, 3, 4]
-    assert line_dedup.aligned_blocks(pairs) == [[0, 1], [3], [4]]
-    assert line_dedup.patience([]) == []
-
-
 def test_forest_learns():
     rng = np.random.default_rng(7)
     x = rng.random((3000, 4))
