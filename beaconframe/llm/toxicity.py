@@ -2,11 +2,18 @@
 
 Words that look written around a filter are restored by a noisy-channel model
 before they are scored.  Each character of a suspicious token opens arcs of a
-lattice: a letter stands for itself or is dropped as a repetition, a digit or
-sign may stand for the letters it resembles, a sign between letters may be
-dropped or part two words.  Single characters with blanks between them are
-joined to one token first.  The Viterbi path with the least cost under the
-channel and a character trigram model of all documents is the restored text.
+lattice:
+
+- leetspeak: a digit or sign, or a letter of another script, may stand for the Latin letters it resembles;
+- repetition: a letter that repeats the one before may be dropped;
+- spacing: a sign between letters may be dropped or part two words.  Runs of
+  single characters become one token, in which two words may be parted before any
+  letter; of two neighbouring short words the blank may be dropped.
+
+The Viterbi path with the least cost under the channel and a character trigram
+model of all documents is the restored text.  A token of any length is decoded in
+one go: there is a state for each pair of last symbols, and the ``STATES``
+cheapest ones go on from each character; paths share what they have in common.
 
 Features are restored words and their beginnings (``PREFIXES`` characters).
 Which of them tell toxic from other documents is counted over a bounded sample
@@ -17,15 +24,22 @@ each feature.  The trigram counts cover all documents; they and the weights are
 small tables of a fixed size, which every worker gets.
 
 Null and empty texts, and any without a telling feature, get the score of a text
-without evidence, which is low.  Without usable labels every score is 0.
+without evidence, which is low.  Without usable labels every score is 0.  Repeated
+rows are scored each; equal texts have equal scores.  Labels without a document,
+null labels and several labels of one document are the sample's business (see
+``quality.labelled_sample``).  An empty table gives no rows.  Long texts are read
+whole, a slice of a batch at a time.  Other columns are not read; `kept` keeps
+them, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import nsmallest
 
 import numpy as np
 import pandas as pd
@@ -42,15 +56,23 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 MIN_TOXIC = 3
 RIDGE = 1.0
 THRESHOLD = 0.5
-WINDOW = 48
 CACHE_TOKENS = 400_000
+#: The beam: how many states go on from each character, the cheapest ones.
+STATES = 48
+#: Longer tokens are decoded anew each time.
+CACHED_CHARS = 96
+#: Neighbouring words of which one has SHORT letters at most and the other one more at most are also read without the blank.
+SHORT = 3
 
 # The letters that digits and signs resemble.
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "{": "c", "[": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "§": "s", "*": "aeiou", "#": "h", "%": "o", "&": "a",
 }
+# Letters of other scripts and the Latin ones that they look like.
+ALIKE = {"а": "a", "в": "b", "е": "e", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
 #: Costs of the channel, in nats.
+ALIKE_COST, BREAK_LETTER, BREAK_FIRST, JOIN = 0.5, 0.0, 9.0, 1.5
 SUBSTITUTE, STAR, DROP_SIGN, DROP_DIGIT, REPEAT, REPEAT_MORE, BREAK_SIGN, BREAK_DIGIT = 0.7, 2.5, 1.0, 9.0, 1.5, 0.1, 3.0, 3.5
 
 SYMBOLS = 28  # 0: no letter, 1-26: a-z without accents, 27: another letter
@@ -109,10 +131,21 @@ def trigram_costs(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3)
 
 
-SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]\S){2,}(?!\S)")
+SPACED = re.compile(r"(?<![^\s(\[{\"'])\S(?:[ .\-_*]\S){2,}(?=[.,;:!?)\]}\"']*(?!\S))")
 SPLIT = re.compile(r"[/:?=,;\"<>{}()\[\]]+")
 RUN = re.compile(r"(.)\1\1")
 OUTER = ".,;:!?\"'()[]{}<>#%&*$-_~^=+|/\\`´“”„‘’…"
+#: Marks a token that was a run of single characters: words may be parted before any letter.
+RUN_MARK = "\n"
+LATIN = frozenset("abcdefghijklmnopqrstuvwxyz")
+
+
+def of_two_scripts(word: str) -> bool:
+    return not word.isascii() and not ALIKE.keys().isdisjoint(word) and not LATIN.isdisjoint(word)
+
+
+def _cost(state: tuple) -> float:
+    return state[1][0]
 
 
 class Restorer:
@@ -121,73 +154,103 @@ class Restorer:
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
 
-    def decode(self, token: str) -> str:
-        """The likeliest text behind ``token`` (lower case); words are parted by blanks."""
-        return " ".join(self._decode(token[i : i + WINDOW]) for i in range(0, len(token), WINDOW))
-
-    def _decode(self, token: str) -> str:
+    @staticmethod
+    def arcs(token: str, i: int, latin: bool) -> tuple[list[tuple[float, str]], float | None, bool]:
+        """What the character at ``i`` may stand for, with costs; what dropping it costs (None: it can't be); whether that needs the letter to be the last one kept."""
+        c = token[i]
+        run = i > 0 and token[i - 1] == c
+        more = run and i > 1 and token[i - 2] == c
+        if c == " ":
+            return [(0.0, " ")], JOIN, False
+        if c.isalpha():
+            arcs = [(3.0 if more else 0.0, c)]
+            if latin and c in ALIKE:
+                arcs.append((ALIKE_COST, ALIKE[c]))
+            return arcs, (REPEAT_MORE if more else REPEAT) if run else None, True
+        looks = LOOKS.get(c, "")
+        digit = c.isdigit()
+        arcs = [((STAR if len(looks) > 2 else SUBSTITUTE) + (0.3 if run else 0), letter) for letter in looks]
+        arcs.append((BREAK_FIRST if digit and not i else BREAK_DIGIT if digit else BREAK_SIGN, " "))
+        return arcs, min(DROP_SIGN, 0.5) if run and not digit else DROP_DIGIT if digit else DROP_SIGN, False
+
+    def decode(self, token: str, parted: bool = False) -> str:
+        """The likeliest text behind ``token`` (lower case); ``parted``: words may also be parted before any letter.
+
+        A state is the last two symbols and the last letter kept; its value the
+        least cost and the path, as (path before, character).
+        """
         costs = self.costs
-        # state: the last two symbols and the last character kept; value: cost and the text so far
-        states = {(0, 0, ""): (0.0, "")}
-        for i, c in enumerate(token):
-            arcs = []  # cost, text
-            run = i and token[i - 1] == c
-            more = run and i > 1 and token[i - 2] == c
-            if c.isalpha():
-                arcs.append((0.0 if not more else 3.0, c))
-                drop = REPEAT_MORE if more else REPEAT
-            else:
-                looks = LOOKS.get(c, "")
-                arcs += [((STAR if len(looks) > 2 else SUBSTITUTE) + (0 if not run else 0.3), letter) for letter in looks]
-                digit = c.isdigit()
-                arcs.append((BREAK_DIGIT if digit else BREAK_SIGN, " "))
-                drop = DROP_DIGIT if digit else DROP_SIGN
-                if run and not digit:
-                    drop = min(drop, 0.5)
+        latin = of_two_scripts(token)
+        states: dict = {(0, 0, ""): (0.0, None)}
+        for i in range(len(token)):
+            arcs, drop, same = self.arcs(token, i, latin)
+            if parted and i and token[i].isalpha():
+                for (a, b, last), (cost, path) in list(states.items()):
+                    if b:
+                        key, total = (b, 0, " "), cost + BREAK_LETTER + costs[a][b][0]
+                        if key not in states or total < states[key][0]:
+                            states[key] = (total, (path, " "))
             following: dict = {}
-            for (a, b, last), (cost, text) in states.items():
+            for (a, b, last), (cost, path) in states.items():
                 row = costs[a][b]
                 for extra, t in arcs:
                     if t == " ":
                         if b == 0:
-                            key, total, now = (a, b, last), cost + extra, text
+                            key, total, now = (a, b, last), cost + extra, path
                         else:
-                            key, total, now = (b, 0, " "), cost + extra + row[0], text + " "
+                            key, total, now = (b, 0, " "), cost + extra + row[0], (path, " ")
                     else:
                         s = symbol(t)
-                        key, total, now = (b, s, t), cost + extra + row[s], text + t
+                        key, total, now = (b, s, t), cost + extra + row[s], (path, t)
                     if key not in following or total < following[key][0]:
                         following[key] = (total, now)
-                if not c.isalpha() or run and last == c:
+                if drop is not None and (not same or last == token[i]):
                     key, total = (a, b, last), cost + drop
                     if key not in following or total < following[key][0]:
-                        following[key] = (total, text)
+                        following[key] = (total, path)
+            if len(following) > STATES:
+                following = dict(nsmallest(STATES, following.items(), key=_cost))
             states = following
-        return min((cost + costs[a][b][0], text) for (a, b, _), (cost, text) in states.items())[1].strip()
+        _, path = min(((cost + costs[a][b][0], path) for (a, b, _), (cost, path) in states.items()), key=lambda x: x[0])
+        out = []
+        while path is not None:
+            path, c = path
+            out.append(c)
+        return "".join(reversed(out)).strip()
 
     def words(self, token: str) -> list[str]:
-        """The words behind one token."""
+        """The words behind one token, behind a run of single characters (after RUN_MARK), or behind two short words with a blank between."""
         low = token.lower()
+        if low[0] == RUN_MARK:
+            return [*self.decode(low[1:]).split(), *self.decode(low[1:], True).split()]
+        if " " in low:
+            return self.decode(low).split()
         core = low.strip(OUTER)
-        if core.isalpha() and not RUN.search(core) and not ("$" in low or "@" in low) or not core and not ("$" in low or "@" in low):
+        odd = "$" in low or "@" in low
+        clear = lambda word: word.isalpha() and not RUN.search(word) and not of_two_scripts(word)
+        if not odd and (not core or clear(core)):
             return [core] if core else []
         out = []
         for part in SPLIT.split(low):
             if part:
                 plain = part.strip(OUTER)
-                if plain.isalpha() and not RUN.search(plain):
+                fine = clear(plain)
+                if fine:
                     out.append(plain)
-                if not plain.isalpha() or RUN.search(plain) or part != plain and ("$" in part or "@" in part):
+                if not fine or part != plain and ("$" in part or "@" in part):
                     if any(map(str.isalpha, part)):
                         out += self.decode(part).split()
         return out
 
 
 def tokens_of(text: str) -> set[str]:
-    """The distinct tokens of a text; runs of single characters count as one more token each."""
-    found = set(text.split())
+    """The distinct tokens of a text; runs of single characters and pairs of short words count as one more token each."""
+    tokens = text.split()
+    found = set(tokens)
+    sizes = list(map(len, tokens))
+    found.update(f"{a} {b}" for a, b, m, n in zip(tokens, tokens[1:], sizes, sizes[1:]) if m + n > SHORT and min(m, n) <= SHORT and max(m, n) <= SHORT + 1 and a.isalpha() and b.isalpha())
     if any(len(t) == 1 for t in found) or "." in text or "-" in text:
-        found.update(re.sub(r"[ .\-_*]", "", m.group()) for m in SPACED.finditer(text))
+        found.update(RUN_MARK + joined for m in SPACED.finditer(text) if (joined := re.sub(r"[ .\-_*]", "", m.group())))
     return found
 
 
@@ -209,23 +272,37 @@ class Cache(dict):
 
     def __missing__(self, token: str):
         found = self.make(token)
-        if len(token) <= 2 * WINDOW:
+        if len(token) <= CACHED_CHARS:
             if len(self) >= CACHE_TOKENS:
                 self.clear()
             self[token] = found
         return found
 
 
+_KEPT: dict[str, Cache] = {}
+
+
 @dataclass
 class ToxicityModel:
     costs: np.ndarray
     features: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.empty(0))
     bias: float = -30.0
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def scorer(self):
+        """What gives the features of a text and how many of its tokens carry each; what it has decoded serves all of a worker's tasks."""
         restorer, index = Restorer(self.costs), {f: i for i, f in enumerate(self.features)}
-        carried = Cache(lambda token: tuple(index[f] for f in features_of(restorer.words(token)) if f in index))
+        heads = {f.removeprefix("=")[: PREFIXES[0]] for f in self.features}  # every feature of a word begins as the word does
+
+        def telling(token: str) -> tuple[int, ...]:
+            likely = [w for w in restorer.words(token) if w[: PREFIXES[0]] in heads]
+            return tuple(index[f] for f in features_of(likely) if f in index) if likely else ()
+
+        if self.name not in _KEPT:
+            _KEPT.clear()
+            _KEPT[self.name] = Cache(telling)
+        carried = _KEPT[self.name]
 
         def counts(text: str) -> Counter:
             out: Counter = Counter()
@@ -235,8 +312,10 @@ class ToxicityModel:
 
         return counts
 
-    def margin(self, counts: Counter) -> float:
-        return self.bias + sum(self.weights[i] * np.log1p(n) for i, n in counts.items())
+    def scores(self, counts, texts) -> np.ndarray:
+        """The probability of each text; ``counts``: what `scorer` gave."""
+        margins = np.array([self.bias + sum(self.weights[i] * np.log1p(n) for i, n in counts(t).items()) for t in texts])
+        return 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
 
 
 def count_features(sample: DataFrame, costs: np.ndarray) -> DataFrame:
@@ -297,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     telling = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share) + 1)
     odds = (F.col("toxic") + 0.5) / (F.col("n") - F.col("toxic") + 0.5)
     top = count_features(sample, costs).where((F.col("toxic") >= MIN_TOXIC) & (odds > 3 * share / (1 - share))).orderBy(F.desc(telling), "feature").limit(keep)
-    model = ToxicityModel(costs, [r.feature for r in top.collect()])
+    model = ToxicityModel(costs, [r.feature for r in top.collect()])  # `keep` rows
     if not model.features:
         return model
 
@@ -323,8 +402,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = TH
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value.scorer()
         for batch in slices(batches):
-            margins = np.array([sent.value.margin(counts(t)) for t in batch.column("text").to_pylist()])
-            yield pa.record_batch([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margins, -30, 30))))], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(sent.value.scores(counts, batch.column("text").to_pylist()))], names=["doc_id", "score"])
 
     return slim(docs).mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -338,6 +416,6 @@ def kept(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) ->
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counts = sent.value.scorer()
         for part in texts:
-            yield pd.Series([1 / (1 + np.exp(-np.clip(sent.value.margin(counts(t)), -30, 30))) for t in part], dtype=float)
+            yield pd.Series(sent.value.scores(counts, part), dtype=float)
 
     return docs.where(score(F.coalesce("text", F.lit(""))) < threshold)

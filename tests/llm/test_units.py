@@ -9,7 +9,7 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
-from beaconframe.llm import bpe, fingerprint, media, ngram_join, quality, tokencount, toxicity  # noqa: E402
+from beaconframe.llm import bpe, fingerprint, media, ngram_join, quality, tokencount  # noqa: E402
 
 
 def random_text(rng, alphabets, most=150):
@@ -133,16 +133,5 @@ def test_forest_learns():
     assert len(quality.statistics("a \n\n b!")) == len(quality.FEATURES)
 
 
-def test_deobfuscation():
-    text = "you idiot moron stupid the trash clown and loser pathetic worthless scum of disgusting " * 50
-    codes = toxicity.TABLE[np.frombuffer(f"  {text}  ".encode("latin-1"), np.uint8)]
-    counts = np.bincount((codes[:-2] * 28 + codes[1:-1]) * 28 + codes[2:], minlength=28**3)
-    restorer = toxicity.Restorer(toxicity.trigram_costs(counts))
-    for token, word in (("1d10t", "idiot"), ("m0r0n", "moron"), ("st*pid", "stupid"), ("tr@sh", "trash"), ("l.o.s.e.r", "loser"), ("iiidiottt", "idiot"), ("$cum", "scum"), ("p4th3t1c!!!", "pathetic"), ("d-i-s-g-u-s-t-i-n-g", "disgusting"), ("idiot###", "idiot")):
-        assert word in restorer.words(token), token
-    assert restorer.words("") == [] and restorer.words("...") == []
-    assert "idiot" in toxicity.tokens_of("you i d i o t")
-
-
 def test_hashes_in_use():
     assert zlib.crc32(b"") == 0 and len(hashlib.sha256(b"").digest()) == 32
