@@ -11,18 +11,24 @@ than it), the left chunk's pre-tokenisation simply goes on until it meets the
 right one's, so the result is the whole text's in every case.  Each pre-token is
 then encoded by itself, and decoding concatenates the bytes of the ids.
 
-Texts up to ``long_chars`` characters are encoded within one task, without any
-shuffle.  Only the chunks of longer ones are dealt out over the cluster, encoded
-there, and streamed back in order, one chunk at a time, to the task that stitches
-them.  Equal rows (same id, same text) are stitched once and returned as often as
-they occur.  Null texts count as empty: no ids.
+This one path serves texts of every size: most documents have several chunks.
+Texts up to ``long_chars`` characters are chunked, encoded and stitched within one
+task, without any shuffle.  Only the chunks of longer ones are dealt out over the
+cluster, encoded there, and streamed back in order, one chunk at a time, to the
+task that stitches them.
+
+Null and empty texts have no ids.  Repeated rows (same id, same text) are stitched
+once when long, and returned as often as they occur.  An empty table gives no rows.
+Special tokens inside a text are ordinary characters.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, slim
 
-CHUNK = 16_384
-OVERLAP = 512
-LONG_CHARS = 131_072
+CHUNK = 2_048
+OVERLAP = 96
+LONG_CHARS = 65_536
 CACHE_ROWS = 200_000
 CACHED_BYTES = 64
 
@@ -43,57 +49,65 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
 
 
-class Codec:
-    """Pre-tokenises, encodes and decodes; one for each worker."""
+class Codec(dict):
+    """Pre-tokenises, encodes and decodes; as a dict, the ids of pre-tokens met so far."""
 
     def __init__(self, path: str, pattern: str):
         import regex
         import tiktoken
 
+        super().__init__()
         ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
+        if self.pattern.groups:
+            raise ValueError("a pattern without groups is needed")
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.bytes_of[rank] = piece
-        self.cache: dict[str, tuple[int, ...]] = {}
 
-    def ids_of(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> list[int]:
         """The ids of one pre-token."""
-        found = self.cache.get(piece)
-        if found is None:
-            found = tuple(self.library._encode_single_piece(piece))
-            if len(piece) <= CACHED_BYTES:
-                if len(self.cache) >= CACHE_ROWS:
-                    self.cache.clear()
-                self.cache[piece] = found
+        found = self.library._encode_single_piece(piece)
+        if len(piece) <= CACHED_BYTES:
+            if len(self) >= CACHE_ROWS:
+                self.clear()
+            self[piece] = found
         return found
 
-    def local(self, view: str, last: bool) -> dict[int, list[int]]:
+    def local(self, view: str, last: bool) -> tuple[list[int], list[list[int]]]:
         """The chunk's own pre-tokens: where each ends, and its ids.
 
         Unless it is the text's last, the view's end may have cut the final two matches short.
         """
-        ends = [m.end() for m in self.pattern.finditer(view)]
-        ends = ends if last else ends[:-2]
-        return {"ends": ends, "ids": [self.ids_of(view[a:b]) for a, b in zip([0, *ends], ends)]}
+        pieces = self.pattern.findall(view)
+        pieces = pieces if last else pieces[:-2]
+        return list(accumulate(map(len, pieces))), list(map(self.__getitem__, pieces))
 
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
         """Ids of the whole text."""
-        if len(text) <= chunk:  # one chunk: nothing to stitch
-            return self.library.encode_ordinary(text)
         ids: list[int] = []
         stitcher = Stitcher(self)
         for start in range(0, len(text), chunk):
             view, last = text[start : start + chunk + overlap], start + chunk >= len(text)
-            found = self.local(view, last)
-            ids += stitcher.feed(start, view, last, found["ends"], found["ids"])
+            ids += stitcher.feed(start, view, last, *self.local(view, last))
         return ids
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+_KEPT: dict[tuple[str, str], Codec] = {}
+
+
+def kept_codec(path: str, pattern: str) -> Codec:
+    """The worker's codec; what it has encoded serves all of the worker's tasks."""
+    if (path, pattern) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path, pattern] = Codec(path, pattern)
+    return _KEPT[path, pattern]
+
+
 def packed(ids) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
@@ -105,7 +119,7 @@ def encode_short(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, o
     """Each row's ids and the bytes they decode to (with ``digest``: their SHA-256), within its own task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        codec = kept_codec(path, pattern)
         for batch in slices(batches):
             counts, ids, decoded = [], [], []
             for text in batch.column("text").to_pylist():
@@ -142,11 +156,11 @@ def encode_chunks(chunks: DataFrame, path: str, pattern: str) -> DataFrame:
     """Each chunk pre-tokenised and encoded from its own start; its text stays for the stitching."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        codec = kept_codec(path, pattern)
         for batch in slices(batches):
             rows = []
             for r in batch.to_pylist():
-                ends, pieces = codec.local(r["text"], r["last"]).values()
+                ends, pieces = codec.local(r["text"], r["last"])
                 rows.append({k: r[k] for k in ("doc_id", "text_key", "chunk", "start", "last", "text")} | {"ends": packed(ends), "counts": packed([len(p) for p in pieces]), "ids": packed([i for p in pieces for i in p])})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("chunk", pa.int64()), ("start", pa.int64()), ("last", pa.bool_()), ("text", pa.string()), ("ends", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())]))
 
@@ -172,19 +186,17 @@ class Stitcher:
         if start > 0 and start + len(view) <= self.at:
             return []
         self.held += view[max(0, self.at + len(self.held) - start) :]
-        order = {0: 0} | {e: i + 1 for i, e in enumerate(ends)}
         reach, done, out = start + (ends[-1] if ends else 0), 0, []
         while done < len(self.held):
             here = self.at + done - start
-            if here in order and self.at + done < reach:  # both agree: take the rest from the chunk
-                for ids in pieces[order[here] :]:
-                    out += ids
+            if 0 <= here < reach - start and (not here or ends[bisect_left(ends, here)] == here):  # both agree: take the rest from the chunk
+                out += chain.from_iterable(pieces[bisect_left(ends, here + 1) if here else 0 :])
                 done = reach - self.at
                 continue
             m = self.codec.pattern.match(self.held, done)
             if not last and m.end() + 1 >= len(self.held):
                 break  # it may go on in the next chunk
-            out += self.codec.ids_of(m.group())
+            out += self.codec[m.group()]
             done = m.end()
         self.at += done
         self.held = self.held[done:]
@@ -198,7 +210,7 @@ def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ov
     encoded = encode_chunks(chunks, path, pattern).repartition(tasks, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        codec = kept_codec(path, pattern)
         key, last, copies = None, -1, 1
 
         def done():
