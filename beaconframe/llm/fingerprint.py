@@ -15,18 +15,21 @@ counts with its best match in the other, weighted by its number of features.
 Entropies are sums of fixed-point table values, so equal texts have equal
 digests on any machine.  A null or empty text has an empty digest; two empty
 digests are alike (1.0), an empty and another one are not (0.0).  A text shorter
-than a window is taken with zero bytes after it, as one window.
+than a window is taken with zero bytes after it, as one window.  Repeated rows each
+have their own row, next to each other.  An empty table gives no rows, and a single
+row is its own next.  Texts of any length are read whole.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, slim
@@ -201,34 +204,55 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return slim(docs).mapInArrow(run, "doc_id long, digest binary")
 
 
+def task_numbers(spark: SparkSession, tasks: int) -> list[int]:
+    """For each partition of ``repartition(tasks, number)`` an int that goes there."""
+    dealt = spark.range(24 * tasks + 200).select(F.col("id").cast("int").alias("x"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(tasks)).alias("task"))
+    found = {r.task: r.x for r in dealt.groupBy("task").agg(F.min("x").alias("x")).collect()}  # `tasks` rows
+    return [found.get(t, t) for t in range(tasks)]
+
+
+def smaller(cuts: list[float], place: Column) -> Column:
+    """How many of the descending ``cuts`` are above ``place``, in about the root of their number of comparisons."""
+    step = max(1, math.isqrt(len(cuts)))
+    above = lambda array: F.size(F.filter(array, lambda c: c > place))
+    literal = lambda values: F.array(*[F.lit(v) for v in values])
+    whole = cuts[step - 1 :: step]
+    full = above(literal(whole)) * step if whole else F.lit(0)
+    return full + above(F.slice(literal(cuts), full + 1, F.lit(step)))
+
+
 def with_next(docs: DataFrame, tasks: int | None = None) -> DataFrame:
-    """doc_id, text and next_text: that of the next row by descending doc_id (null ids last, ties by text); the last row's is the first's.
+    """doc_id, text and next_text: that of the next row by descending doc_id; the last row's is the first's.
 
-    One shuffle of the texts, by ranges of the id.  A range's last row needs the
-    first row of the range below, so that row is sent to both; there are only as
-    many of those as ranges.  Rows of a range are streamed in order.
+    Null ids come last, and rows of one id by xxhash64 of their text, the largest first.  One shuffle of the texts, by ranges, one a task.  A range's last row
+    needs the first row of the range below, so that row is sent to both; there are
+    only as many of those as ranges.  Rows of a range are streamed in order.
     """
     spark = docs.sparkSession
     whole = slim(docs)
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))  # null ids last
-    cuts = sorted(set(whole.select(key.alias("k")).approxQuantile("k", [i / tasks for i in range(1, tasks)], 0.2 / tasks)), reverse=True) if tasks > 1 else []
-    cuts = [int(c) for c in cuts]
-    # Ranges by descending key: range r holds keys below cuts[r - 1] and not below cuts[r]; equal keys share a range.
-    spot = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > key)) if cuts else F.lit(0)
-    placed = whole.withColumn("k", key).withColumn("range", spot.cast("int"))
-    firsts = sorted(r.range for r in placed.select("range").distinct().collect())  # as many as ranges at most
-    if not firsts:
+    text_hash = F.xxhash64("text")
+    # Rows without an id are spread over places of their own, below all ids.
+    place = F.coalesce(F.col("doc_id").cast("double"), F.lit(-2e19) + text_hash.cast("double"))
+    placed = whole.withColumn("hash", text_hash).withColumn("place", place)
+    cuts = sorted(set(placed.approxQuantile("place", [i / tasks for i in range(1, tasks)], 0.2 / tasks)), reverse=True) if tasks > 1 else []
+    # Range r holds places below cuts[r - 1] and not below cuts[r]; equal places share a range.
+    ranged = placed.withColumn("range", smaller(cuts, F.col("place")).cast("int") if cuts else F.lit(0))
+    order = F.struct("place", F.coalesce("doc_id", F.lit(0)).alias("id"), "hash")
+    heads = {r.range: r.head for r in ranged.groupBy("range").agg(F.max(order).alias("head")).collect()}  # a row for each range
+    if not heads:
         return whole.withColumn("next_text", F.col("text"))
+    firsts = sorted(heads)
     above = {r: firsts[i - 1] for i, r in enumerate(firsts)}  # the range before; the first's is the last
-    heads = placed.groupBy("range").agg(F.max("k").alias("k")).collect()
-    # A range's first row: its largest key, and of equal keys the first text.
-    top = {h.range: h.k for h in heads}
-    pairs = F.map_from_arrays(F.array(*[F.lit(r) for r in firsts]), F.array(*[F.lit(top[r]) for r in firsts]))
-    lowest = F.map_from_arrays(F.array(*[F.lit(r) for r in firsts]), F.array(*[F.lit(above[r]) for r in firsts]))
-    is_head = F.col("k") == pairs[F.col("range")]
-    copies = placed.withColumn("to", F.explode(F.when(is_head, F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("guest")), F.struct(lowest[F.col("range")].alias("r"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("guest"))))))
-    dealt = copies.select(F.col("to.r").alias("range"), F.col("to.guest").alias("guest"), F.col("k"), "doc_id", "text").repartition(tasks, "range").sortWithinPartitions("range", "guest", F.desc("k"), "text")
+    names = task_numbers(spark, tasks)
+    by_range = lambda values, r: F.element_at(F.array(*[F.lit(values[k]) if k in values else F.lit(None) for k in range(firsts[-1] + 1)]), r + 1)
+    head = F.struct(*[by_range({r: h[i] for r, h in heads.items()}, F.col("range")).cast(t) for i, t in enumerate(("double", "long", "long"))])
+    is_head = order == head
+    own = F.struct(F.col("range"), F.lit(0).alias("guest"))
+    guest = F.struct(by_range(above, F.col("range")).alias("range"), F.lit(1).alias("guest"))
+    copies = ranged.withColumn("to", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))))
+    named = by_range(dict(enumerate(names)), F.col("to.range"))
+    dealt = copies.select(F.col("to.range").alias("range"), F.col("to.guest").alias("guest"), named.alias("task"), "place", "hash", "doc_id", "text").repartition(tasks, "task").sortWithinPartitions("range", "guest", F.desc("place"), F.desc("doc_id"), F.desc("hash"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("next_text", pa.string())])
