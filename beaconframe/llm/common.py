@@ -81,6 +81,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         yield batch.slice(start)
 
 
+#: A key of more than one in so many rows is hot; there are no more hot keys than this.
+HOT_SHARE = 2_000
+
+
+def hot_join(rows: DataFrame, keys: DataFrame, on: str, weight: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keys``, one row for each key with how many of the ``total`` rows have it (``weight``): hot keys by broadcast, HOT_SHARE rows at most, so none of them meets in one task."""
+    hot = F.col(weight) > F.lit(total // HOT_SHARE)
+    return rows.join(keys.where(~hot), on).unionByName(rows.join(F.broadcast(keys.where(hot)), on))
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of bytes other than SPACES, without a Python worker."""
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))

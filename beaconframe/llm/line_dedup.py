@@ -42,13 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, slices, slim, unpacked, word_count
+from .common import cut, hot_join, packed, slices, slim, unpacked, word_count
 
 MIN_WORDS = 5
 NO_ID = (1 << 63) - 1
 PASSES = 6
-#: A passage of more than one in so many rows is joined by broadcast; there can be no more such passages than this.
-HOT_SHARE = 2_000
 
 
 def passages(words: list[int], least: int) -> set[tuple[int, int]]:
@@ -163,10 +161,8 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     holders = rows.groupBy("key").agg(F.min(F.struct("id", "text_key", "rank")).alias("first"), F.max(F.struct("id", "text_key")).alias("last"), F.count(F.lit(1)).alias("common"))
     several = (F.col("first.id") != F.col("last.id")) | (F.col("first.text_key") != F.col("last.text_key"))
     shared = cut(holders.where(several).select("key", F.col("first.id").alias("first_id"), F.col("first.text_key").alias("first_key"), F.col("first.rank").alias("first_rank"), "common"))
-    hot = F.col("common") > F.lit(rows.count() // HOT_SHARE)
-    usual = rows.join(shared.where(~hot), "key")
-    frequent = rows.join(F.broadcast(shared.where(hot)), "key")  # HOT_SHARE rows at most
-    return usual.unionByName(frequent).where((F.col("id") != F.col("first_id")) | (F.col("text_key") != F.col("first_key"))).drop("key")
+    joined = hot_join(rows, shared, "key", "common", rows.count())
+    return joined.where((F.col("id") != F.col("first_id")) | (F.col("text_key") != F.col("first_key"))).drop("key")
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -24,7 +24,11 @@ out.  A large cluster of documents that are all alike still costs comparisons in
 proportion to its square, since each has that many links to count.
 
 Null texts count as empty.  Null ids are kept; a class's id is the least id in
-it, null if it has none.
+it, null if it has none.  Repeated rows are copies of each other.  An empty table
+gives no rows.  A text of any length is one set.  Other columns are kept as they are
+by `one_of_each`, whatever their names, and not read.  Sets are known by 128 bits,
+records in the graph by 64: two of n different sets share a record's number with a
+chance of n**2 / 2**65 (one in 4 at 3 billion sets), and would then count as linked.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, slices, slim, unpacked
+from .common import cut, hot_join, packed, slices, slim, unpacked
 from .graph import components
 
 WORDS = 5
@@ -49,7 +53,7 @@ LEVELS = (1, 3)
 SMALL = 128
 #: Candidates' sketches may fall short of the similarity by this much: four standard deviations.
 MARGIN = 0.14
-BLOCK_SETS = 200
+BLOCK_SETS = 1_000
 BLOCK_SHINGLES = 2_000_000
 CACHE_WORDS = 400_000
 NO_ID = -(1 << 63)
@@ -387,7 +391,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, words: in
     linked = classes.select("set_key", "rid", "least").join(joined, F.col("rid") == F.col("node")).select("set_key", "component", "least")
     named = linked.join(linked.groupBy("component").agg(F.min("least").alias("class_id")), "component").select("set_key", "class_id").join(counted, "set_key")
     about = classes.select("set_key", "copies", "least").join(named, "set_key", "left").select("set_key", "copies", F.when(F.col("links").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return found.drop("minima").join(about, "set_key").select("doc_id", "text_key", "class_id", "n_links", F.col("copies").alias("n_copies"), "size", "set_key")
+    return hot_join(found.drop("minima"), cut(about), "set_key", "copies", found.count()).select("doc_id", "text_key", "class_id", "n_links", F.col("copies").alias("n_copies"), "size", "set_key")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:

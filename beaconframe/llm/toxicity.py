@@ -72,7 +72,7 @@ LOOKS = {
 # Letters of other scripts and the Latin ones that they look like.
 ALIKE = {"а": "a", "в": "b", "е": "e", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
 #: Costs of the channel, in nats.
-ALIKE_COST, BREAK_LETTER, BREAK_FIRST, JOIN = 0.5, 0.0, 9.0, 1.5
+ALIKE_COST, BREAK_LETTER, BREAK_FIRST, JOIN = 0.5, 0.0, 9.0, 2.5
 SUBSTITUTE, STAR, DROP_SIGN, DROP_DIGIT, REPEAT, REPEAT_MORE, BREAK_SIGN, BREAK_DIGIT = 0.7, 2.5, 1.0, 9.0, 1.5, 0.1, 3.0, 3.5
 
 SYMBOLS = 28  # 0: no letter, 1-26: a-z without accents, 27: another letter
@@ -223,8 +223,9 @@ class Restorer:
         low = token.lower()
         if low[0] == RUN_MARK:
             return [*self.decode(low[1:]).split(), *self.decode(low[1:], True).split()]
-        if " " in low:
-            return self.decode(low).split()
+        if " " in low:  # of words that stay apart there is nothing new to say
+            found = self.decode(low)
+            return [] if " " in found else [found]
         core = low.strip(OUTER)
         odd = "$" in low or "@" in low
         clear = lambda word: word.isalpha() and not RUN.search(word) and not of_two_scripts(word)

@@ -5,7 +5,7 @@ import pytest
 
 pytest.importorskip("beaconframe.llm")
 
-from beaconframe.llm import line_dedup  # noqa: E402
+from beaconframe.llm import common, line_dedup  # noqa: E402
 
 
 def brute(rows, least=line_dedup.MIN_WORDS):
@@ -48,9 +48,9 @@ def test_copies_made_of_common_lines(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("hot", [line_dedup.HOT_SHARE, 20])
+@pytest.mark.parametrize("hot", [common.HOT_SHARE, 20])
 def test_random_documents(spark, seed, hot, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT_SHARE", hot)
+    monkeypatch.setattr(common, "HOT_SHARE", hot)
     rng = np.random.default_rng(seed)
     pool = [" ".join(f"w{k}_{j}" for j in range(rng.integers(1, 8))) for k in range(60)]
     rows = []

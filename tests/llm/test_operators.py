@@ -88,9 +88,10 @@ def test_media(docs, none):
     assert media.media_columns(none).count() == 0
 
 
-@pytest.mark.parametrize("tasks", [1, 4])
+@pytest.mark.parametrize("tasks", [1, 4, 23])
 def test_fingerprint_neighbours(docs, none, tasks):
-    order = sorted(((i, t or "") for i, t, _ in ROWS), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    hashed = {r.t: r.h for r in docs.selectExpr("coalesce(text, '') t", "xxhash64(coalesce(text, '')) h").collect()}
+    order = sorted(((i, t or "") for i, t, _ in ROWS), key=lambda r: (r[0] is None, -(r[0] or 0), -hashed[r[1]]))
     want = [(i, len(t), hashlib.sha256(fingerprint.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order)]
     got = fingerprint.compare_neighbours(fingerprint.with_next(docs, tasks)).collect()
     assert multiset(r[:3] for r in got) == multiset(want)
@@ -99,6 +100,17 @@ def test_fingerprint_neighbours(docs, none, tasks):
     assert fingerprint.with_next(docs.where("doc_id = 7"), tasks).count() == 1
 
 
+def test_fingerprint_ranges(spark):
+    names = fingerprint.task_numbers(spark, 37)
+    from pyspark.sql import functions as F
+
+    dealt = spark.createDataFrame([(n,) for n in names], "task int").repartition(37, "task").withColumn("p", F.spark_partition_id()).collect()
+    assert sorted(r.p for r in dealt) == list(range(37)) and all(names[r.p] == r.task for r in dealt)
+    cuts = [float(c) for c in range(100, 0, -7)]
+    got = spark.createDataFrame([(float(x),) for x in range(-5, 110)], "x double").select("x", fingerprint.smaller(cuts, F.col("x")).alias("n")).collect()
+    assert all(r.n == sum(c > r.x for c in cuts) for r in got)
+
+
 def test_quality(docs, labels, none):
     forest = quality.fit(docs, labels, trees=5)
     got = quality.quality_scores(docs, forest).collect()
@@ -175,6 +187,36 @@ def test_line_dedup(docs, none):
     assert line_dedup.without_repeats(none).count() == 0
 
 
+def test_ngram_join_finds_every_link(spark):
+    """Against all pairs of documents of a whole table."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in rows.collect():
+        words = (r.text or "").lower().split()
+        sets[r.doc_id] = frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+    ids = sorted(sets)
+    links = {i: 0 for i in ids}
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            a, b = sets[i], sets[j]
+            if a == b or min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                links[i] += 1
+                links[j] += 1
+    got = {r.doc_id: r.n_links for r in ngram_join.similar_documents(rows).collect()}
+    found, all_links = sum(min(got[i], links[i]) for i in ids), sum(links.values())
+    assert found >= 0.99 * all_links > 0 and all(got[i] <= links[i] for i in ids)
+
+
+def test_ngram_join_large_last_node(spark, monkeypatch):
+    """Near copies so many that a node is large at the last level: no link is lost, in blocks of any size."""
+    monkeypatch.setattr(ngram_join, "SMALL", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 7)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:-1], f"own{i}"])) for i in range(60)] + [(1000 + i, " ".join(f"x{i}_{k}" for k in range(40))) for i in range(30)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i] == (0, 59) for i in range(60)) and all(got[1000 + i] == (1000 + i, 0) for i in range(30))
+
+
 def test_pipeline_stages_keep_columns(spark, docs, labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     wide = docs.withColumn("n_chars", docs.doc_id)
