@@ -16,9 +16,9 @@ def j01(spark, sf):
     return table(spark, sf, "orders").join(held, "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("call_id"))
 
 
-@query("j02_alerts_with_labels", f"WITH {CALLS}, {SYSTEMS}, {TALKGROUPS} SELECT call_id, system_label, label FROM calls LEFT JOIN systems USING (system_ref) LEFT JOIN talkgroups USING (talkgroup_ref) WHERE k < 20 ORDER BY ts_ms DESC, call_id DESC LIMIT 500")
+@query("j02_alerts_with_labels", f"WITH {CALLS}, {SYSTEMS}, {TALKGROUPS} SELECT call_id, system_label, label FROM calls LEFT JOIN systems USING (system_ref) LEFT JOIN talkgroups USING (talkgroup_ref) ORDER BY ts_ms DESC, call_id DESC LIMIT 500")
 def j02(spark, sf):
-    newest = calls(spark, sf).where("k < 20").orderBy(F.desc("ts_ms"), F.desc("call_id")).limit(500)
+    newest = calls(spark, sf).orderBy(F.desc("ts_ms"), F.desc("call_id")).limit(500)
     return newest.join(F.broadcast(systems(spark, sf)), "system_ref", "left").join(F.broadcast(talkgroups(spark)), "talkgroup_ref", "left").select("call_id", "system_label", "label")
 
 
@@ -65,11 +65,11 @@ def j08(spark, sf):
 TONE_SETS = '[{"id":"0","label":"Medic"},{"id":"1","label":"Engine"},{"id":"2","label":""}]'
 
 
-@query("j09_tone_set_label", f"WITH {CALLS}, s(id, label) AS (VALUES ('0', 'Medic'), ('1', 'Engine'), ('2', NULL)) SELECT call_id, label AS tone_set FROM calls LEFT JOIN s ON id = (k % 4)::VARCHAR WHERE k < 30")
+@query("j09_tone_set_label", f"WITH {CALLS}, s(id, label) AS (VALUES ('0', 'Medic'), ('1', 'Engine'), ('2', NULL)) SELECT call_id, label AS tone_set FROM calls LEFT JOIN s ON id = (k % 4)::VARCHAR")
 def j09(spark, sf):
     sets = F.from_json(F.lit(TONE_SETS), "array<struct<id:string,label:string>>")
     found = F.get(F.filter(sets, lambda s: s["id"] == (F.col("k") % 4).cast("string")), F.lit(0))
-    return calls(spark, sf).where("k < 30").select("call_id", F.nullif(found["label"], F.lit("")).alias("tone_set"))
+    return calls(spark, sf).select("call_id", F.nullif(found["label"], F.lit("")).alias("tone_set"))
 
 
 @query("j10_watched_channels", f"WITH {CALLS} SELECT DISTINCT talkgroup_ref, system_ref FROM calls c WHERE talkgroup_ref = 2 OR EXISTS (SELECT 1 FROM customer WHERE c_custkey = c.unit_ref AND c_mktsegment = 'BUILDING')")
@@ -204,10 +204,10 @@ def j26(spark, sf):
     return p.join(by_word, p.p_name == by_word.word).select(F.col("p_partkey").alias("call_id"), "users", F.col("word").alias("words"))
 
 
-@query("j27_next_voice_call", f"WITH {CALLS} SELECT a.call_id, (SELECT min_by(b.call_id, b.ts_ms) FROM calls b WHERE b.system_ref = a.system_ref AND b.talkgroup_ref = a.talkgroup_ref AND b.duration >= 60 AND b.ts_ms > a.ts_ms AND b.ts_ms <= a.ts_ms + 7200000) AS next_call FROM calls a WHERE a.k < 10")
+@query("j27_next_voice_call", f"WITH {CALLS} SELECT a.call_id, (SELECT min_by(b.call_id, b.ts_ms) FROM calls b WHERE b.system_ref = a.system_ref AND b.talkgroup_ref = a.talkgroup_ref AND b.duration >= 60 AND b.ts_ms > a.ts_ms AND b.ts_ms <= a.ts_ms + 7200000) AS next_call FROM calls a")
 def j27(spark, sf):
     found = temporal.next_matching(calls(spark, sf), ["system_ref", "talkgroup_ref"], F.col("duration") >= 60, 7_200_000)
-    return found.where("k < 10").select("call_id", "next_call")
+    return found.select("call_id", "next_call")
 
 
 @query("j28_voice_transcript", f"WITH {CALLS} SELECT a.call_id, CASE WHEN duration >= 60 THEN call_id ELSE COALESCE((SELECT min_by(b.call_id, b.ts_ms) FROM calls b WHERE b.system_ref = a.system_ref AND b.talkgroup_ref = a.talkgroup_ref AND b.duration >= 60 AND b.ts_ms > a.ts_ms AND b.ts_ms <= a.ts_ms + 1200000), call_id) END AS voice_call FROM calls a")

@@ -72,9 +72,9 @@ def u09(spark, sf):
     return upserts.upsert_hits(old, hits, "key")
 
 
-@query("u10_upsert_misses", f"WITH {CALLS} SELECT unit_ref AS key, talkgroup_ref AS provider, count(*) AS misses, max(ts_ms) AS used FROM calls WHERE k < 40 GROUP BY 1, 2")
+@query("u10_upsert_misses", f"WITH {CALLS} SELECT unit_ref AS key, talkgroup_ref AS provider, count(*) AS misses, max(ts_ms) AS used FROM calls GROUP BY 1, 2")
 def u10(spark, sf):
-    return calls(spark, sf).where("k < 40").groupBy(F.col("unit_ref").alias("key"), F.col("talkgroup_ref").alias("provider")).agg(F.count(F.lit(1)).alias("misses"), F.max("ts_ms").alias("used"))
+    return calls(spark, sf).groupBy(F.col("unit_ref").alias("key"), F.col("talkgroup_ref").alias("provider")).agg(F.count(F.lit(1)).alias("misses"), F.max("ts_ms").alias("used"))
 
 
 @query("u11_replace_by_scope", f"WITH {CALLS} SELECT system_ref, COALESCE(NULLIF(talkgroup_ref, 1), 0) AS scope, arg_max(call_id, ts_ms * 100000 + call_id) AS call_id FROM calls GROUP BY 1, 2")

@@ -37,7 +37,7 @@ def a05(spark, sf):
 
 
 # The test texts are invented words, so each transcript is given one marker by its number.
-MARKS = [words.split(", ")[0] for _, _, words in stats.CATEGORIES] + ["nothing", "fire alarm and gas leak", "STRUCTURE FIRE", "domestic dispute with smoke"]
+MARKS = [words[0] for _, _, words in stats.CATEGORIES] + ["nothing", "fire alarm and gas leak", "STRUCTURE FIRE", "domestic dispute with smoke"]
 MARK_SQL = "transcripts AS (SELECT doc_id AS call_id, text || ' ' || list_extract([" + ", ".join(f"'{m}'" for m in MARKS) + f"], CAST(doc_id % {len(MARKS)} AS INT) + 1) AS transcript FROM documents)"
 
 
@@ -47,7 +47,7 @@ def transcripts(spark, sf):
 
 
 def category_sql(part: int) -> str:
-    whens = " ".join("WHEN " + " OR ".join(f"contains(low, '{w}')" for w in words.split(", ")) + f" THEN '{(name, parent)[part]}'" for name, parent, words in stats.CATEGORIES)
+    whens = " ".join("WHEN " + " OR ".join(f"contains(low, '{w}')" for w in words) + f" THEN '{(name, parent)[part]}'" for name, parent, words in stats.CATEGORIES)
     return f"CASE {whens} END"
 
 
@@ -93,9 +93,9 @@ def a09(spark, sf):
     return table(spark, sf, "nation").join(F.broadcast(pivoted), "n_nationkey", "left").select(F.col("n_nationkey").cast("bigint").alias("system_ref"), F.coalesce("places", F.lit(0)).alias("places"), F.coalesce("streets", F.lit(0)).alias("streets"))
 
 
-@query("a10_last_open_alert", f"WITH {CALLS} SELECT talkgroup_ref, max(ts_ms) AS last_ms FROM calls WHERE k < 50 GROUP BY 1")
+@query("a10_last_open_alert", f"WITH {CALLS} SELECT talkgroup_ref, max(ts_ms) AS last_ms FROM calls GROUP BY 1")
 def a10(spark, sf):
-    return calls(spark, sf).where("k < 50").groupBy("talkgroup_ref").agg(F.max("ts_ms").alias("last_ms"))
+    return calls(spark, sf).groupBy("talkgroup_ref").agg(F.max("ts_ms").alias("last_ms"))
 
 
 @query("a11_silent_systems", f"WITH {CALLS}, {NOW}, {SYSTEMS}, l AS (SELECT system_ref, max(ts_ms) AS m FROM calls WHERE system_ref <> 5 GROUP BY 1) SELECT system_ref, system_label, (t - COALESCE(m, t - 365 * 86400000::BIGINT)) // 60000 AS silent_minutes FROM systems LEFT JOIN l USING (system_ref), now")
@@ -277,10 +277,10 @@ def a36(spark, sf):
     return calls(spark, sf).groupBy("talkgroup_ref").agg(F.round(F.median("duration"), 6).alias("median"))
 
 
-@query("a37_next_order", "SELECT s_suppkey AS ref, CAST((SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY s_suppkey) AS BIGINT) AS place FROM supplier WHERE s_suppkey % 10 = 3")
+@query("a37_next_order", "SELECT s_suppkey AS ref, CAST((SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY s_suppkey) AS BIGINT) AS place FROM supplier")
 def a37(spark, sf):
     last = table(spark, sf, "nation").agg(F.max("n_nationkey")).collect()[0][0]
-    return table(spark, sf, "supplier").where("s_suppkey % 10 = 3").select(F.col("s_suppkey").alias("ref"), (F.row_number().over(Window.orderBy("s_suppkey")) + last).cast("bigint").alias("place"))
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ref"), (F.row_number().over(Window.orderBy("s_suppkey")) + last).cast("bigint").alias("place"))
 
 
 @query("a38_geocode_outcomes", f"WITH {CALLS} SELECT CASE WHEN k < 10 THEN 'error' WHEN k < 40 THEN 'miss' ELSE 'hit' END AS outcome, count(*) AS n FROM calls GROUP BY 1")

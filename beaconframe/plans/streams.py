@@ -86,10 +86,10 @@ def t23(spark, sf):
     return run_available(call_stream(spark, sf).where("k % 10 = 1").join(F.broadcast(talkgroups(spark).where("alerts")), "talkgroup_ref").select("call_id", "label", "tag"))
 
 
-@query("t24_tone_alert_rows", f"WITH {CALLS} SELECT call_id, 'set' || (k + i) % 12 AS tone_set FROM calls, range(2) r(i) WHERE k < 30")
+@query("t24_tone_alert_rows", f"WITH {CALLS} SELECT call_id, 'set' || (k + i) % 12 AS tone_set FROM calls, range(2) r(i)")
 def t24(spark, sf):
     sets = F.transform(F.array(F.lit(0), F.lit(1)), lambda i: F.concat(F.lit("set"), (F.col("k") + i) % 12))
-    return run_available(call_stream(spark, sf).where("k < 30").select("call_id", F.explode(sets).alias("tone_set")))
+    return run_available(call_stream(spark, sf).select("call_id", F.explode(sets).alias("tone_set")))
 
 
 @query("t30_expired_flags", f"WITH {CALLS}, m AS (SELECT max(ts_ms) AS t FROM calls) SELECT call_id FROM calls, m WHERE ts_ms + k * 86400000 <= t")

@@ -16,13 +16,13 @@ from .registry import query
 
 @query("f01_keyword_hits", r"SELECT doc_id AS call_id, len(regexp_extract_all(text, '(?i)\bthe\b'))::BIGINT AS hits FROM documents WHERE regexp_matches(text, '(?i)\bthe\b')")
 def f01(spark, sf):
-    found = table(spark, sf, "documents").select(F.col("doc_id").alias("call_id"), F.size(tx.hits(F.col("text"), "the")).cast("bigint").alias("hits"))
+    found = table(spark, sf, "documents").select(F.col("doc_id").alias("call_id"), tx.hit_count(F.col("text"), "the").cast("bigint").alias("hits"))
     return found.where("hits > 0")
 
 
-@query("f02_keyword_context", r"SELECT doc_id AS call_id, position('idiot' IN lower(text))::BIGINT - 1 AS position, length(text) AS n FROM documents WHERE regexp_matches(text, '(?i)\bidiot\b') AND position('idiot' IN lower(text)) > 0 AND NOT regexp_matches(text, '(?i)([a-z0-9]idiot|idiot[a-z0-9])')")
+@query("f02_keyword_context", r"SELECT doc_id AS call_id, length(regexp_extract(text, '(?is)^(.*?)\bidiot\b', 1))::BIGINT AS position, length(text) AS n FROM documents WHERE regexp_matches(text, '(?i)\bidiot\b')")
 def f02(spark, sf):
-    d = table(spark, sf, "documents").where(~F.regexp_like("text", F.lit("(?i)([a-z0-9]idiot|idiot[a-z0-9])"))).select("doc_id", "text", tx.hits(F.col("text"), "idiot").alias("at")).where("size(at) > 0")
+    d = table(spark, sf, "documents").select("doc_id", "text", tx.hits(F.col("text"), "idiot").alias("at")).where("size(at) > 0")
     return d.select(F.col("doc_id").alias("call_id"), F.get("at", F.lit(0)).cast("bigint").alias("position"), F.length("text").cast("bigint").alias("n"))
 
 
@@ -69,7 +69,7 @@ def f10(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.has_voice(F.col("text")).alias("voice"), tx.has_alert_voice(F.col("text")).alias("alert_voice"))
 
 
-@query("f11_emergency_words", "SELECT doc_id AS call_id FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{w.lower()}')" for w in tx.EMERGENCY))
+@query("f11_emergency_words", "SELECT doc_id AS call_id FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{w}')" for w in tx.EMERGENCY))
 def f11(spark, sf):
     return table(spark, sf, "documents").where(tx.has_emergency_word(F.col("text"))).select(F.col("doc_id").alias("call_id"))
 
