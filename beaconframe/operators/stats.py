@@ -63,8 +63,8 @@ def category_number(lower_text: Column) -> Column:
     """The number, from 1, of the first category that the lower-case text has a substring of, or null."""
     out = None
     for i, (_, _, words) in enumerate(CATEGORIES, 1):
-        # One pattern a category: a chain of 120 tests makes a method too large to be compiled.
-        hit = lower_text.rlike("|".join(words))
+        # One loop over a constant array: a chain of 120 tests makes a method too large to be compiled, and a pattern of alternatives is six times slower.
+        hit = F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(lower_text, w))
         out = F.when(hit, i) if out is None else out.when(hit, i)
     return out
 
