@@ -24,10 +24,21 @@ def ship(spark: SparkSession) -> None:
     context._package_shipped = True
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; where the session names none, one of our own on a single machine only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="frames-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def new_folder(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; one of our own only where the session names none.  It goes with the session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{named or tempfile.mkdtemp(prefix='frames-')}/{uuid.uuid4().hex}"
+    """A new folder name under ``shared_root``.  It goes with the session."""
+    path = f"{shared_root(spark)}/{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
