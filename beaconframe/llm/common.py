@@ -6,8 +6,6 @@ long) and ``text`` (string).  Other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +13,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import ship
+from ..sources.shared import new_folder, ship
 
 #: The bytes that separate words: space, tab, line feed, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -27,31 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="beacon-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of the written table.
 
     This cuts the lineage: later actions reread the table and a lost executor
     costs no recomputation.  The files go when the session's JVM ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/beacon-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(conf).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fold(doc_id: Column | str, modulus: int) -> Column:
