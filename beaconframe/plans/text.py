@@ -301,23 +301,49 @@ def m14(spark, sf):
 
 @query("m16_tone_segments")
 def m16(spark, sf):
-    """Tone segments of a clip for each channel and k: two tones whose pitches follow from them."""
+    """Tone segments of a clip for each channel and k: two tones whose pitches follow from them, between quiet noise; every third clip is faint."""
     import numpy as np
 
     ship(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = np.arange(signal.RATE) / signal.RATE
+        quiet = 0.01 * np.random.default_rng(1).standard_normal(signal.RATE)
         for rows in batches:
             out = []
             for r in rows.itertuples():
-                clip = np.concatenate([0.5 * np.sin(2 * np.pi * (300 + 100 * r.talkgroup_ref) * t), 0.5 * np.sin(2 * np.pi * (900 + 5 * r.k) * t)])
+                tones = [np.sin(2 * np.pi * (300 + 100 * r.talkgroup_ref) * t), np.sin(2 * np.pi * (900 + 5 * r.k) * t)]
+                clip = np.concatenate([quiet, *tones, quiet]) * (0.05 if r.k % 3 == 0 else 0.5)
                 out += [(r.talkgroup_ref, r.k, round(s["frequency"]), round(s["duration"], 2)) for s in signal.without_harmonics(signal.tone_segments(clip, signal.RATE))]
             yield pd.DataFrame(out, columns=["talkgroup_ref", "k", "frequency", "seconds"])
 
     return calls(spark, sf).select("talkgroup_ref", "k").distinct().mapInPandas(run, "talkgroup_ref bigint, k bigint, frequency bigint, seconds double")
 
 
+@query("w17_removable_tones")
+def w17(spark, sf):
+    """Of a noisy clip for each channel and k, with two tones at once and a shorter one, the tones that removal cuts and the seconds it keeps."""
+    import numpy as np
+
+    ship(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = np.arange(signal.RATE) / signal.RATE
+        noise = 0.01 * np.random.default_rng(1).standard_normal(4 * signal.RATE)
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                clip = noise.copy()
+                clip[signal.RATE : 2 * signal.RATE] += 0.4 * np.sin(2 * np.pi * (400 + 100 * r.talkgroup_ref) * t) + 0.2 * np.sin(2 * np.pi * (1500 + 5 * r.k) * t)
+                clip[3 * signal.RATE : 3 * signal.RATE + signal.RATE // 10] += 0.4 * np.sin(2 * np.pi * 2500 * t[: signal.RATE // 10])
+                tones = signal.sustained_tones(clip, signal.RATE)
+                kept = sum(b - a for a, b in signal.kept_spans(4.0, [(s["start"], s["end"]) for s in tones]))
+                out += [(r.talkgroup_ref, r.k, round(s["frequency"]), round(s["duration"], 1), round(kept, 1)) for s in tones]
+            yield pd.DataFrame(out, columns=["talkgroup_ref", "k", "frequency", "seconds", "kept_s"])
+
+    return calls(spark, sf).select("talkgroup_ref", "k").distinct().mapInPandas(run, "talkgroup_ref bigint, k bigint, frequency bigint, seconds double, kept_s double")
+
+
 PLACES = "c_custkey AS id, 40 + c_acctbal / 10000 AS lat, -80 + c_nationkey / 10.0 AS lon FROM customer"
 
 

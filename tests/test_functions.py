@@ -133,3 +133,32 @@ def test_wav_and_spans():
     assert rate == 8000 and np.abs(x - tone(500, 0.5)).max() < 1e-3
     assert signal.kept_spans(10, [(1, 2), (1.2, 1.5)]) == [(0.0, 0.95), (2.05, 10)]
     assert signal.kept_spans(1, [(0, 1)]) == [(0.0, 1)]
+
+
+def noisy(parts, rate=8000, level=0.01):
+    clip = np.concatenate(parts)
+    return clip + level * np.random.default_rng(3).standard_normal(len(clip))
+
+
+def test_gates_follow_the_clip():
+    blank = np.zeros(8000)
+    for loudness in (1.0, 0.1):
+        found = signal.tone_segments(loudness * noisy([blank, tone(600, 1.0), tone(950, 1.0), blank]), 8000)
+        assert [round(t["frequency"], -1) for t in found] == [600, 950]
+    assert signal.tone_segments(0.01 * noisy([blank, tone(600, 1.0), blank]), 8000) == []  # below the least magnitude
+    assert signal.tone_segments(noisy([blank, blank, blank], level=0.3), 8000) == []  # noise alone
+    level, floor = signal.relative_levels(np.array([1.0] * 6 + [0.1] * 2 + [0.01] * 2), 8000, 256)
+    assert level[0] == 0 and floor == pytest.approx(-20)  # the third of ten sorted levels bounds the quiet ones; the third of those four is the floor
+    assert signal.relative_levels(np.zeros(3), 8000, 256)[1] == signal.NO_FLOOR_DB
+    late = np.array([0.1] * 100 + [1.0] * 10)  # speech after the first three seconds does not set the peak
+    assert signal.relative_levels(late, 8000, 256)[0][0] == 0 and signal.relative_levels(late, 8000, 256, None)[0][0] == pytest.approx(-20)
+
+
+def test_sustained_tones():
+    blank = np.zeros(8000)
+    both = tone(600, 1.0) + 0.5 * tone(1500, 1.0)
+    found = signal.sustained_tones(noisy([blank, both, blank, tone(2500, 0.1), blank]), 8000)
+    assert [round(t["frequency"], -1) for t in found] == [600, 1500]
+    assert all(t["start"] == pytest.approx(1, abs=0.25) and t["end"] == pytest.approx(2, abs=0.25) for t in found)
+    assert signal.sustained_tones(0.02 * noisy([blank, both, blank]), 8000) == []
+    assert signal.sustained_tones(np.zeros(100), 8000) == signal.sustained_tones(np.zeros(9000), 8000) == []
