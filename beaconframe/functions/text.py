@@ -127,34 +127,6 @@ def street_core(name: Column) -> Column:
     return F.array_join(F.filter(core, lambda t, i: ~(t.isin(*types) & (i == F.size(core) - 1) & (i > 0))), " ")
 
 
-def skeleton(name: Column) -> Column:
-    """Consonants of a name as they sound: doubled letters once, vowels after the first letter dropped."""
-    out = F.regexp_replace(F.upper(name), "[^A-Z]", "")
-    for pattern, sound in (("PH", "F"), ("CK", "K"), ("C(?=[EIY])", "S"), ("C", "K"), ("Q", "K"), ("X", "KS"), ("Z", "S"), ("G(?=[EIY])", "J"), ("WR", "R"), ("KN", "N"), (r"(.)\1+", "$1")):
-        out = F.regexp_replace(out, pattern, sound)
-    return F.concat(F.substring(out, 1, 1), F.regexp_replace(F.substring(out, 2, 1000), "[AEIOUYHW]", ""))
-
-
-def edit_limit(a: Column, b: Column) -> Column:
-    """How many edits two street cores may be apart: by the shorter one's length."""
-    n = F.least(F.length(a), F.length(b))
-    return F.when(n <= 4, 1).when(n <= 8, 2).otherwise(3)
-
-
-def street_score(a: Column, b: Column) -> Column:
-    """0 to 1: how likely two street cores are one name misheard."""
-    limit = edit_limit(a, b)
-    distance = F.levenshtein(a, b)
-    numeric = a.rlike("[0-9]") | b.rlike("[0-9]")
-    singles = lambda x: F.regexp_replace(x, r"(.)\1+", "$1")
-    score = F.greatest(
-        F.when(skeleton(a) == skeleton(b), 0.88).otherwise(0.0),
-        F.when(singles(a) == singles(b), 0.82).otherwise(0.0),
-        F.when(distance <= limit, 0.68 + 0.20 * (limit - distance + 1) / (limit + 1)).otherwise(0.0),
-    )
-    return F.when(a == b, 1.0).when(numeric, 0.0).otherwise(score)
-
-
 def snippet(text: Column, most: int = 200) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 

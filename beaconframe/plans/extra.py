@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import address, geo, nature, signal
+from ..functions import address, geo, nature, signal, streets
 from ..functions import text as tx
 from ..operators import temporal, upserts
 from ..sources.adapters import CALLS, DAY, HOUR, MINUTE, SYSTEMS, TALKGROUPS, calls, last_moment, systems, table, talkgroups
@@ -16,6 +16,7 @@ from ..sources.shared import new_folder, ship
 from ..streaming.book import Book
 from ..streaming.sources import call_stream, run_available
 from .registry import query
+from .text import SKELETONS
 
 
 @query("s01_upload_fields", f"WITH {CALLS} SELECT call_id, system_ref AS system, talkgroup_ref AS talkgroup, k * 100 AS frequency FROM calls")
@@ -91,18 +92,19 @@ def a40(spark, sf):
     return table(spark, sf, "part").groupBy(F.col("p_brand").alias("pin")).agg(F.coalesce(F.nullif(found, F.lit("")), F.lit(nature.UNKNOWN)).alias("labels"))
 
 
-@query("f24_phonetic_keys")
+@query("f24_phonetic_keys", f"WITH {SKELETONS} SELECT s AS p_name, skeleton AS keys FROM skeletons WHERE length(skeleton) >= 2")
 def f24(spark, sf):
-    key = F.array_distinct(F.array(tx.skeleton(F.col("p_name")), F.soundex("p_name")))
-    return table(spark, sf, "part").select("p_name").distinct().select("p_name", F.array_join(key, "|").alias("keys"))
+    """Skeletons of a core and its singled forms; they fall together, as the oracle says."""
+    keys = F.array_distinct(F.filter(F.transform(streets.singled(F.regexp_replace(F.upper("p_name"), " ", "")), streets.skeleton), lambda k: F.length(k) >= 2))
+    return table(spark, sf, "part").select("p_name").distinct().select("p_name", F.array_join(keys, "|").alias("keys")).where("keys <> ''")
 
 
 @query("f27_corrected_addresses", "SELECT p_partkey AS id, (p_size + 100) || ' RED RING RD' AS address FROM part WHERE p_name = 'red ring'")
 def f27(spark, sf):
     known = spark.createDataFrame([("RED RING",), ("BLUE BOLT",)], "street string")
     said = table(spark, sf, "part").where("p_name = 'red ring'").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 100).cast("string").alias("n"), F.lit("RAD RING").alias("heard"))
-    best = said.select("heard").distinct().join(F.broadcast(known), tx.street_score(F.col("heard"), F.col("street")) >= 0.72).groupBy("heard").agg(F.max_by("street", tx.street_score(F.col("heard"), F.col("street"))).alias("street"))
-    return said.join(F.broadcast(best), "heard").select("id", F.concat("n", F.lit(" "), "street", F.lit(" RD")).alias("address"))
+    best = streets.best_matches(said.select(F.col("heard").alias("said")), known).withColumnRenamed("said", "heard")
+    return said.join(best, "heard").select("id", F.concat("n", F.lit(" "), "street", F.lit(" RD")).alias("address"))
 
 
 @query("f28_guarded_corrections", f"WITH {CALLS} SELECT call_id, CASE WHEN k % 2 = 0 THEN 'FIRE AT LAKE SHORE DR' ELSE 'FIRE AT SHORE RD AND LAKE SHORE DR' END AS said FROM calls")

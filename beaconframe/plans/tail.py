@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import address, geo, nature, signal, units
+from ..functions import address, geo, nature, signal, streets, units
 from ..functions import text as tx
 from ..operators import temporal
 from ..sources import files
@@ -19,6 +19,7 @@ from .joins import COOLDOWN
 from .more import UNIT_WORDS
 from .registry import query
 from .streams import PENDING
+from .text import SKELETONS
 
 CHANNEL = ["system_ref", "talkgroup_ref"]
 
@@ -107,13 +108,15 @@ def p40(spark, sf):
 # ------------------------------------------------------------------ words and labels
 
 
-@query("j23_fuzzy_streets", "SELECT DISTINCT upper(p_name) AS said, upper(p_name) AS street FROM part WHERE p_size > 10")
+MISHEARD = "regexp_replace(upper(p_name), '^(.)[AEIOU]', '\\1Y')"
+
+
+@query("j23_fuzzy_streets", f"WITH {SKELETONS}, known AS (SELECT DISTINCT upper(p_name) AS street, skeleton FROM part JOIN skeletons ON s = p_name), said AS (SELECT DISTINCT {MISHEARD} AS said, skeleton FROM part JOIN skeletons ON s = p_name) SELECT said, COALESCE(max(street) FILTER (street = said), min(street)) AS street FROM said JOIN known USING (skeleton) GROUP BY said")
 def j23(spark, sf):
-    """Exact hits of a fuzzy join: a known core is never replaced by a similar one."""
-    known = table(spark, sf, "part").where("p_size > 10").select(F.upper("p_name").alias("street")).distinct().withColumn("b", F.substring(tx.skeleton(F.col("street")), 1, 2))
-    said = known.select(F.col("street").alias("said"), "b")
-    pairs = said.join(known, "b").withColumn("score", tx.street_score(F.col("said"), F.col("street"))).where("score >= 0.72")
-    return pairs.groupBy("said").agg(F.max(F.struct("score", "street"))["street"].alias("street"))
+    """Names with another vowel than their street's: it, or the least of the streets of its skeleton, is the nearest."""
+    p = table(spark, sf, "part")
+    known, said = p.select(F.upper("p_name").alias("street")), p.select(F.regexp_replace(F.upper("p_name"), "^(.)[AEIOU]", "$1Y").alias("said"))
+    return streets.best_matches(said, known).select("said", "street")
 
 
 @query("w04_nearest_neighbours", f"WITH {CALLS}, p AS (SELECT a.call_id, b.call_id AS other, abs(a.ts_ms - b.ts_ms) AS gap_ms FROM calls a JOIN calls b ON a.unit_ref = b.unit_ref AND a.call_id <> b.call_id AND abs(a.ts_ms - b.ts_ms) <= 7200000), r AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY gap_ms, other) AS n FROM p) SELECT call_id, other FROM r WHERE n = 1")
@@ -176,9 +179,11 @@ def f18(spark, sf):
 
 @query("f25_street_scores")
 def f25(spark, sf):
+    """Scores of each street name against it with vowels changed, and against it without its third letter."""
     n = table(spark, sf, "part").select(F.upper("p_name").alias("a")).distinct()
-    pairs = n.withColumn("b", F.regexp_replace("a", "(?<=[A-Z])([AEIOU])(?=[A-Z])", "E"))
-    return pairs.select("a", "b", F.round(tx.street_score(F.col("a"), F.col("b")), 6).alias("score"))
+    heard = F.array(F.regexp_replace("a", "(?<=[A-Z])([AEIOU])(?=[A-Z])", "E"), F.concat(F.left("a", F.lit(2)), F.substr("a", F.lit(4))))
+    core = lambda c: F.regexp_replace(c, " ", "")
+    return n.withColumn("b", F.explode(heard)).select("a", "b", F.round(streets.score(core("a"), core("b")), 6).alias("score"))
 
 
 @query("f29_one_way_corrections", f"WITH {CALLS} SELECT call_id, 'AT MAIN STREET' AS said FROM calls")
@@ -247,9 +252,11 @@ def f55(spark, sf):
     return calls(spark, sf).select("call_id", nature.stem_equal(word, other).alias("equal"))
 
 
-@query("f57_edit_limits", "SELECT p_partkey AS id, CASE WHEN length(p_name) <= 4 THEN 1 WHEN length(p_name) <= 8 THEN 2 ELSE 3 END::BIGINT AS edits FROM part")
+@query("f57_edit_limits", "WITH n AS (SELECT p_partkey AS id, left(p_name, p_size % 8 + 1) AS a, left(p_name, p_size % 5) || 'q' || substr(p_name, p_size % 5 + 2, p_size % 7) AS b FROM part), m AS (SELECT *, length(a) AS x, length(b) AS y, len([i FOR i IN range(1, 5) IF starts_with(b, left(a, i)) AND length(a) >= i]) AS alike FROM n) SELECT id, (CASE WHEN x >= 7 OR y >= 7 THEN CASE WHEN alike = 4 THEN 3 ELSE 2 END WHEN abs(x - y) <= 1 AND ((x >= 5 AND y >= 5 AND alike >= 2) OR (x >= 4 AND y >= 4 AND alike >= 1)) THEN 2 ELSE 1 END)::BIGINT AS edits FROM m")
 def f57(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), tx.edit_limit(F.col("p_name"), F.col("p_name")).cast("bigint").alias("edits"))
+    a = F.left("p_name", F.col("p_size") % 8 + 1)
+    b = F.concat(F.left("p_name", F.col("p_size") % 5), F.lit("q"), F.substr("p_name", F.col("p_size") % 5 + 2, F.col("p_size") % 7))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), streets.edit_limit(a, b).cast("bigint").alias("edits"))
 
 
 @query("f58_location_queries", "SELECT n_nationkey::BIGINT AS id, n_name || ', ' || r_name AS query FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import geo, signal
+from ..functions import geo, signal, streets
 from ..functions import text as tx
 from ..sources.adapters import CALLS, calls, table
 from ..sources.shared import ship
@@ -102,21 +102,22 @@ def f22(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), tx.street_core(F.concat("p_name", F.lit(" North Road"))).alias("core"))
 
 
-@query("f23_skeleton")
+# Skeletons in SQL: of names s (lower case) the first letter and later consonants, repeats once.
+SKELETONS = "letters AS (SELECT DISTINCT p_name AS s, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS x FROM part), bones AS (SELECT s, regexp_extract_all(left(x, 1) || regexp_replace(substr(x, 2), '[AEIOUY]', '', 'g'), '.') AS l FROM letters), skeletons AS (SELECT s, array_to_string([l[i] FOR i IN range(1, len(l) + 1) IF i = 1 OR l[i] <> l[i - 1]], '') AS skeleton FROM bones)"
+
+
+@query("f23_skeleton", f"WITH {SKELETONS} SELECT s AS p_name, skeleton FROM skeletons")
 def f23(spark, sf):
-    return table(spark, sf, "part").select("p_name").distinct().select("p_name", tx.skeleton(F.col("p_name")).alias("skeleton"))
+    return table(spark, sf, "part").select("p_name").distinct().select("p_name", streets.skeleton(F.col("p_name")).alias("skeleton"))
 
 
 @query("f26_gazetteer_match")
 def f26(spark, sf):
-    """The best street of a gazetteer for each heard name, among those with the same first sound or letter."""
+    """The best street of a gazetteer for each heard name."""
     p = table(spark, sf, "part")
-    known = p.where("p_size > 25").select(F.upper("p_name").alias("street")).distinct()
-    heard = p.where("p_size <= 25").select(F.regexp_replace(F.upper("p_name"), "T(?=[AEIOU])", "D").alias("said")).distinct()
-    block = lambda c: F.explode(F.array_distinct(F.array(F.substring(tx.skeleton(c), 1, 2), F.concat(F.lit("="), F.substring(c, 1, 2)))))
-    pairs = heard.withColumn("b", block(F.col("said"))).join(known.withColumn("b", block(F.col("street"))), "b").drop("b").distinct()
-    scored = pairs.withColumn("score", tx.street_score(F.col("said"), F.col("street"))).where("score >= 0.72")
-    return scored.groupBy("said").agg(F.max(F.struct(F.round("score", 6).alias("score"), "street")).alias("m")).select("said", "m.street", "m.score")
+    known = p.where("p_size > 25").select(F.upper("p_name").alias("street"))
+    heard = p.where("p_size <= 25").select(F.regexp_replace(F.upper("p_name"), "T(?=[AEIOU])", "D").alias("said"))
+    return streets.best_matches(heard, known).select("said", "street", F.round("score", 6).alias("score"))
 
 
 @query("f34_digit_candidates", r"SELECT s_suppkey AS id, regexp_matches(s_suppkey || ' ' || s_name, '^\s*[0-9]+[A-Za-z]?\s+\S+') AS candidate FROM supplier")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from beaconframe.functions import geo, signal
+from beaconframe.functions import geo, signal, streets
 from beaconframe.functions import text as tx
 from beaconframe.operators import search, temporal
 from beaconframe.streaming.stateful import Pending
@@ -48,11 +48,33 @@ def test_tones_only(spark, text, want):
 def test_streets(spark):
     assert value(spark, tx.canonical_street(F.col("x")), x="123 North Main Street, Apt 4") == "123 N MAIN ST"
     assert value(spark, tx.street_core(F.col("x")), x="North Main Street") == "MAIN"
-    score = lambda a, b: value(spark, tx.street_score(F.col("a"), F.col("b")), a=a, b=b)
-    assert score("DURST CLACK", "DURST CLAGG") >= 0.72
-    assert score("MAIN", "MAIN") == 1.0
-    assert score("12TH", "13TH") == 0.0
-    assert score("MAIN", "WASHINGTON") == 0.0
+    alike = lambda a, b: value(spark, streets.alike(F.col("a"), F.col("b")), a=a, b=b)
+    assert alike("DURST CLACK ROAD", "DURST CLAGG ROAD") and alike("CARVER NILES RD", "NILES CARVER ROAD")
+    assert not alike("OLIVE STREET", "OLIVE AVE NE") and not alike("EAST 85TH ST", "WEST 85TH ST")
+
+
+NAMES = [
+    "BEACH", "BEECH", "MELTON", "MILTON", "QUAYLE", "QUAIL", "YOULL", "YULE", "STAMBALL", "STAMBAUGH", "MAHOGANY", "MAHONING", "ALCETTA", "ELSETTA", "ABEL", "AXEL", "BELMONT", "BEAUMONT",
+    "BLANE", "BLAINE", "AARON", "ARON", "CREEK", "COURT", "12TH", "13TH", "KIMROSE", "KIMROS", "MAIN", "WASHINGTON", "SOBEL", "TOBEL", "LEE", "LEA", "GLENWOOD", "GALEWOOD", "ELLA", "ELA", "TOOL", "TOL", "A", "",
+]
+
+
+def test_street_scores_and_keys(spark):
+    names = spark.createDataFrame([(n,) for n in NAMES], "n string")
+    side = lambda x: names.select(F.col("n").alias(x), streets.match_keys(F.col("n"), F.col("n")).alias(f"keys_{x}"))
+    rows = side("a").crossJoin(side("b")).select("a", "b", streets.score(F.col("a"), F.col("b")).alias("score"), F.arrays_overlap("keys_a", "keys_b").alias("met")).collect()
+    score = {(r.a, r.b): r.score for r in rows}
+    assert all(r.met for r in rows if r.score >= streets.LEAST)
+    want = {("MAIN", "MAIN"): 1, ("BEACH", "BEECH"): 0.88, ("QUAYLE", "QUAIL"): 0.88, ("YOULL", "YULE"): 0.88, ("ALCETTA", "ELSETTA"): 0.8, ("STAMBALL", "STAMBAUGH"): 0.73, ("SOBEL", "TOBEL"): 0, ("12TH", "13TH"): 0, ("CREEK", "COURT"): 0, ("MAIN", "WASHINGTON"): 0, ("GLENWOOD", "GALEWOOD"): 0, ("BELMONT", "BEAUMONT"): 0}
+    assert {k: round(score[k], 6) for k in want} == want
+    assert score["ABEL", "AXEL"] > 0.78
+
+
+def test_best_matches(spark):
+    known = spark.createDataFrame([("BEECH ST",), ("BEECH AVE",), ("N MAIN ST",), ("CARVER NILES RD",), ("GALEWOOD DR",), ("GLENWOOD DR",), ("",), (None,), ("BEECH ST",)], "street string")
+    heard = spark.createDataFrame([("BEACH STREET",), ("MAIN ST",), ("SOUTH MAIN ST",), ("NILES CARVER ROAD",), ("GLENWOOD DRIVE",), ("ZZZ RD",), ("",), (None,)], "said string")
+    got = {r.said: (r.street, r.score) for r in streets.best_matches(heard, known).collect()}
+    assert got == {"BEACH STREET": ("BEECH ST", 0.88), "MAIN ST": ("N MAIN ST", 1.0), "NILES CARVER ROAD": ("CARVER NILES RD", 1.0), "GLENWOOD DRIVE": ("GLENWOOD DR", 1.0)}
 
 
 def test_geometry(spark):
