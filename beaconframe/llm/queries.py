@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, line_dedup, lm, media, mixing, ngram_join, quality, tokencount, toxicity
+from . import bpe, codes, fingerprint, line_dedup, lm, media, mixing, neardup, ngram_join, phrases, quality, tokencount, toxicity
 from .common import fold, table
+from .sql import CODES_SQL, NEAR_COPIES_SQL, PHRASES_SQL
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +65,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_lm_score, op4_quality, op5_ngram_join, op6_mixing, op7_png_media, op8_fingerprint, op9_line_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_lm_score, op4_quality, op5_ngram_join, op6_mixing, op7_png_media, op8_fingerprint, op9_line_dedup, op10_token_counts, op11_vector_codes, op12_near_copies, op13_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these can be written in SQL; tests/llm holds each against a brute-force version."""
-    return {}
+    """The others cannot be written in SQL; tests/llm holds each against a brute-force version."""
+    return {"op11_vector_codes": CODES_SQL, "op12_near_copies": NEAR_COPIES_SQL, "op13_phrases": PHRASES_SQL}
