@@ -42,13 +42,13 @@ COVERED = 80
 TOP = 2_000
 SCALE = 2_000_000
 #: Bytes of text in a shard.
-SHARD = 8_000_000
+SHARD = 3_000_000
 #: Bits a frequent phrase has in the filter, and the filter's largest size (64 MB).
 BITS_EACH, PROBES, FILTER_BITS = 16, 4, 1 << 29
 #: Bits of a filter that are put together in one task.
 SEGMENT = 1 << 18
 #: Rows of one output batch.
-ROWS = 50_000
+ROWS = 20_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
