@@ -13,7 +13,6 @@ from ..functions import text as tx
 from ..operators import temporal, upserts
 from ..sources.adapters import CALLS, DAY, HOUR, MINUTE, SYSTEMS, TALKGROUPS, calls, last_moment, systems, table, talkgroups
 from ..sources.shared import new_folder, ship
-from ..streaming.book import Book
 from ..streaming.sources import call_stream, run_available
 from .registry import query
 from .text import SKELETONS
@@ -244,23 +243,6 @@ def t02(spark, sf):
     return run_available(call_stream(spark, sf).where("talkgroup_ref <> 3").select("call_id", known.alias("talkgroup_ref"), "system_ref").where("system_ref > 0").drop("system_ref"))
 
 
-@query("t09_tone_book")
-def t09(spark, sf):
-    """Tones, short and long voice on linked channels of a system, through the book of pending tones."""
-    ship(spark)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        book, out = Book(links={1: {2}, 2: {1}}), []
-        rows = rows.sort_values(["ts_ms", "call_id"], kind="stable")
-        for r in rows.itertuples():
-            out += book.events(r.talkgroup_ref, r.call_id, r.ts_ms // 60, r.k < 30, r.duration / 10)
-        out += book.passed(1 << 60)
-        return pd.DataFrame([(*key, *e) for e in out], columns=["system_ref", "kind", "tone_call", "voice_call"]).astype({"voice_call": "Int64"})
-
-    settled = calls(spark, sf).groupBy("system_ref").applyInPandas(run, "system_ref bigint, kind string, tone_call bigint, voice_call bigint")
-    return settled.groupBy("system_ref", "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("t21_health_monitors", f"WITH {CALLS}, m AS (SELECT max(ts_ms) AS t FROM calls) SELECT 'failures' AS monitor, count(*) FILTER (k % 10 = 0) AS n FROM calls, m WHERE ts_ms >= t - 86400000 UNION ALL SELECT 'silent', count(*) FROM (SELECT system_ref, talkgroup_ref FROM calls GROUP BY 1, 2 HAVING count(*) >= 5 AND count(*) FILTER (duration > 400) = 0)")
 def t21(spark, sf):
     from ..operators.stats import silent_channels

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import temporal
 from ..sources.adapters import CALLS, HOUR, MINUTE, TALKGROUPS, calls, talkgroups
 from ..sources.shared import ship
-from ..streaming import stateful
-from ..streaming.sources import call_stream, run_available
+from ..streaming import stateful, timers
+from ..streaming.sources import call_stream, run_available, run_timed
 from .joins import COOLDOWN
 from .registry import query
 
@@ -21,6 +21,47 @@ def t03(spark, sf):
     return run_available(stateful.arrival_duplicates(call_stream(spark, sf), CHANNEL, 10 * MINUTE))
 
 
+@query("t05_evicted_state", f"""WITH {CALLS}, m AS (SELECT max(ts_ms) AS t FROM calls), l AS (SELECT unit_ref, ts_ms, lead(ts_ms) OVER (PARTITION BY unit_ref ORDER BY ts_ms, call_id) AS next_ms FROM calls)
+ SELECT unit_ref, ts_ms AS last_ms FROM l, m WHERE COALESCE(next_ms, t) - ts_ms > 7200000""")
+def t05(spark, sf):
+    """When a unit's state went: twice the window of an hour after its last call, by a timer; state younger than that at the end of the table stays."""
+    found = run_timed(timers.arrivals(call_stream(spark, sf), ["unit_ref"], HOUR))
+    return found.where("kind = 'evicted'").select("unit_ref", F.col("ts_ms").alias("last_ms"))
+
+
+#: Calls stand for tones, claims and voice; hours for the reference's seconds, as the table has a call every few minutes.
+SETTINGS = {"links": {1: {2}, 2: {1}}, "window_ms": 12 * HOUR, "orphan_ms": 6 * HOUR, "wait_ms": 90 * MINUTE, "link_ms": 3 * HOUR}
+
+
+def tone_events(spark, sf):
+    kind = F.when(F.col("k") < 30, "tone").when(F.col("k") < 40, "lock").otherwise("voice")
+    channel = F.col("talkgroup_ref")
+    return call_stream(spark, sf).select("system_ref", F.when(channel == 2, 1).otherwise(channel).cast("bigint").alias("book"), channel.alias("channel"), kind.alias("kind"), "call_id", "ts_ms", "at", (F.col("duration") / 10).alias("voice_s"))
+
+
+def settled_tones(spark, sf):
+    return run_timed(timers.tone_book(tone_events(spark, sf), ["system_ref", "book"], **SETTINGS))
+
+
+@query("t09_tone_book")
+def t09(spark, sf):
+    """Tones that a voice call took, over linked channels, successor slots and parked short calls."""
+    return settled_tones(spark, sf).where("kind = 'attached'").select("system_ref", "book", "tone_call", "voice_call", "at_ms")
+
+
+@query("t10_orphaned_tones")
+def t10(spark, sf):
+    """Tones that nobody followed, with those that waited behind them and those that later tones replaced."""
+    return settled_tones(spark, sf).where("kind <> 'attached'").select("system_ref", "book", "kind", "tone_call", "at_ms")
+
+
+@query("t11_parked_short_calls")
+def t11(spark, sf):
+    """Short calls that got tones after their wait, since no longer call came."""
+    done = settled_tones(spark, sf).where("kind = 'attached'")
+    return done.join(calls(spark, sf).select(F.col("call_id").alias("voice_call"), "duration"), "voice_call").where("duration < 50").select("voice_call", "tone_call", "at_ms")
+
+
 @query("t06_without_duplicates", f"WITH {CALLS}, d AS (SELECT system_ref, talkgroup_ref, call_id, ts_ms - lag(ts_ms) OVER (PARTITION BY system_ref, talkgroup_ref ORDER BY ts_ms, call_id) AS gap FROM calls) SELECT system_ref, talkgroup_ref, call_id FROM d WHERE gap IS NULL OR gap > 600000")
 def t06(spark, sf):
     ship(spark)

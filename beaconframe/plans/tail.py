@@ -361,13 +361,6 @@ def t04(spark, sf):
     return temporal.prior_arrival(calls(spark, sf), CHANNEL, 30 * MINUTE).where("prior is not null").select("call_id")
 
 
-@query("t05_evicted_state", f"WITH {CALLS}, m AS (SELECT max(ts_ms) AS t FROM calls), l AS (SELECT unit_ref, max(ts_ms) AS last_ms FROM calls GROUP BY 1) SELECT unit_ref FROM l, m WHERE last_ms < t - greatest(2 * 1800000, 60000)")
-def t05(spark, sf):
-    """Keys whose state is older than twice the window, a minute at least."""
-    c = calls(spark, sf)
-    return c.groupBy("unit_ref").agg(F.max("ts_ms").alias("last_ms")).where(F.col("last_ms") < last_moment(c) - max(2 * 30 * MINUTE, MINUTE)).select("unit_ref")
-
-
 @query("t08_linked_channels", f"WITH {CALLS} SELECT call_id, t AS heard_on FROM calls, LATERAL (SELECT talkgroup_ref AS t UNION ALL SELECT 2 WHERE talkgroup_ref = 1) x")
 def t08(spark, sf):
     """Tones go to their own channel's state and to that of a linked one."""

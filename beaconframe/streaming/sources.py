@@ -20,6 +20,14 @@ def call_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_timed(stream: DataFrame) -> DataFrame:
+    """`run_available` for operators with timers."""
+    from .timers import rocks_store
+
+    with rocks_store(stream.sparkSession):
+        return run_available(stream)
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run the stream over all input there is, and return what it wrote."""
     spark = stream.sparkSession

@@ -14,12 +14,21 @@ def test_tones_meet_the_next_long_voice():
 
 
 def test_replaced_and_orphaned():
-    b = Book()
+    b = Book(orphan_ms=180_000)
     b.events(1, 10, 0, True, 0)
     assert b.events(1, 11, 121_000, True, 0) == [("expired", 10, None)]
     assert b.events(2, 12, 121_000 + 180_001, True, 0) == [("orphan", 11, None)]
 
 
+def test_orphans_and_what_waits_behind_them():
+    b = Book()
+    b.settle("tone", 1, 10, 0, 0)
+    b.settle("lock", 1, 0, 0, 0)
+    b.settle("tone", 1, 11, 30_000, 0)
+    assert b.due() == 60_000 and b.passed(60_000) == []
+    assert b.passed(60_001) == [("orphan", 10, None, 60_000), ("dropped", 11, None, 60_000)] and b.empty()
+
+
 def test_short_voice_waits():
     b = Book()
     b.events(1, 10, 0, True, 0)
