@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.automaton import first_group
 from ..sources.adapters import DAY, HOUR, MINUTE
+from ..sources.shared import ship
 
 # Incident categories in the order they are tried, each with its parent and the substrings that mark it.
 CATEGORIES = (
@@ -61,18 +63,13 @@ def counters(calls: DataFrame, as_of: int) -> DataFrame:
 
 def category_number(lower_text: Column) -> Column:
     """The number, from 1, of the first category that the lower-case text has a substring of, or null."""
-    out = None
-    for i, (_, _, words) in enumerate(CATEGORIES, 1):
-        # One loop over a constant array: a chain of 120 tests makes a method too large to be compiled, and a pattern of alternatives is six times slower.
-        hit = F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(lower_text, w))
-        out = F.when(hit, i) if out is None else out.when(hit, i)
-    return out
+    return first_group(lower_text, tuple(words for _, _, words in CATEGORIES))
 
 
 def incident_summary(transcripts: DataFrame) -> DataFrame:
     """place, parent, category, calls of each, and the parent's calls; parents without calls have no row."""
-    lowered = transcripts.select(F.lower("transcript").alias("low"))  # once, not for each substring
-    counted = lowered.select(category_number(F.col("low")).alias("number")).where("number is not null").groupBy("number").agg(F.count(F.lit(1)).alias("calls"))
+    ship(transcripts.sparkSession)
+    counted = transcripts.select(category_number(F.lower("transcript")).alias("number")).where("number is not null").groupBy("number").agg(F.count(F.lit(1)).alias("calls"))
     of = lambda part: F.element_at(F.array(*[F.lit(c[part]) for c in CATEGORIES]), F.col("number"))
     named = counted.select(of(1).alias("parent"), of(0).alias("category"), "calls")
     order = F.array_position(F.array(*[F.lit(p) for p in PARENTS]), F.col("parent"))

@@ -7,23 +7,41 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import geo, signal, streets
+from ..functions import automaton, geo, signal, streets
 from ..functions import text as tx
 from ..sources.adapters import CALLS, calls, table
 from ..sources.shared import ship
 from .registry import query
 
 
-@query("f01_keyword_hits", r"SELECT doc_id AS call_id, len(regexp_extract_all(text, '(?i)\bthe\b'))::BIGINT AS hits FROM documents WHERE regexp_matches(text, '(?i)\bthe\b')")
+#: A dispatcher's list: common and rare words, phrases, several spellings of one, and what no text has.
+KEYWORDS = ["the", "The ", "of the", "idiot", "and", "la", "de", "der", "is", "en route", "fire", "copyright", "stand", "all rights reserved", "ing", "email"]
+# Between two matches lies a piece without any; a match's place is the bytes before it.
+HITS_SQL = (
+    "keywords(keyword) AS (SELECT unnest(["
+    + ", ".join(f"'{k}'" for k in KEYWORDS)
+    + r"""])), split AS (SELECT doc_id, text, keyword, strlen(trim(keyword)) AS n, string_split_regex(upper(replace(text, 'ß', '§')), '\b' || upper(trim(keyword)) || '\b') AS p FROM documents, keywords),
+ found AS (SELECT doc_id AS call_id, keyword, text, n, CAST(list_sum(list_transform(p[1:i], lambda x: strlen(x))) + (i - 1) * n AS BIGINT) AS position FROM (SELECT *, unnest(range(1, len(p))) AS i FROM split))""".replace("\\", "\\")
+)
+
+
+def spoken(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("call_id"), F.col("text").alias("transcript"))
+
+
+@query("f01_keyword_hits", f"WITH {HITS_SQL} SELECT call_id, keyword, position FROM found")
 def f01(spark, sf):
-    found = table(spark, sf, "documents").select(F.col("doc_id").alias("call_id"), tx.hit_count(F.col("text"), "the").cast("bigint").alias("hits"))
-    return found.where("hits > 0")
+    return automaton.keyword_hits(spoken(spark, sf), KEYWORDS).select("call_id", "keyword", "position")
 
 
-@query("f02_keyword_context", r"SELECT doc_id AS call_id, length(regexp_extract(text, '(?is)^(.*?)\bidiot\b', 1))::BIGINT AS position, length(text) AS n FROM documents WHERE regexp_matches(text, '(?i)\bidiot\b')")
+@query(
+    "f02_keyword_context",
+    f"""WITH {HITS_SQL}, b AS (SELECT *, hex(encode(text)) AS h, strlen(text) AS size, greatest(position - 50, 0) AS start, least(position + n + 50, strlen(text)) AS stop FROM found)
+ SELECT call_id, keyword, position, CASE WHEN start > 0 THEN '2E2E2E' ELSE '' END || substr(h, 2 * start + 1, 2 * (stop - start)) || CASE WHEN stop < size THEN '2E2E2E' ELSE '' END AS context FROM b""",
+)
 def f02(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", tx.hits(F.col("text"), "idiot").alias("at")).where("size(at) > 0")
-    return d.select(F.col("doc_id").alias("call_id"), F.get("at", F.lit(0)).cast("bigint").alias("position"), F.length("text").cast("bigint").alias("n"))
+    """The bytes around each match, in hex."""
+    return automaton.keyword_hits(spoken(spark, sf), KEYWORDS).withColumn("context", F.hex("context"))
 
 
 @query("f03_whole_word", r"SELECT p_partkey AS id, regexp_matches(p_name, '(?i)\bring\b') AS found FROM part")
