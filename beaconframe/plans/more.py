@@ -116,14 +116,6 @@ def f43(spark, sf):
     return joined.select("call_id", nature.with_fallback(nature.sanitise(F.col("transcript"), F.coalesce("label", F.lit("")))).alias("nature"))
 
 
-UNIT_WORDS = units.UnitWords(types=(units.FuzzyWord("ENGINE", 2, ("ENGIN",)), units.FuzzyWord("MEDIC", 1, (), ("MAGIC",))), prefixes=(units.FuzzyWord("CITY", 0), units.FuzzyWord("COUNTY", 1)))
-
-
-@query("f17_unit_mentions", f"WITH {CALLS} SELECT call_id, CASE WHEN k % 2 = 0 THEN 'CITY ENGINE ' ELSE 'MEDIC ' END || k AS unit FROM calls")
-def f17(spark, sf):
-    ship(spark)
-    said = F.concat(F.when(F.col("k") % 2 == 0, "city enjine ").otherwise("respond medik "), F.col("k").cast("string"), F.lit(" to main street"))
-    return units.unit_mentions(calls(spark, sf).select("call_id", said.alias("transcript")), UNIT_WORDS).select("call_id", "unit")
 
 
 @query("g01_incident_status", f"WITH {CALLS} SELECT call_id, CASE WHEN k < 5 THEN 'skipped' WHEN k % 2 = 0 THEN 'ok' ELSE 'failed' END AS status FROM calls")

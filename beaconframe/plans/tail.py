@@ -16,7 +16,6 @@ from ..sources.shared import new_folder, ship
 from ..streaming import stateful
 from ..streaming.sources import call_stream, run_available
 from .joins import COOLDOWN
-from .more import UNIT_WORDS
 from .registry import query
 from .streams import PENDING
 from .text import SKELETONS
@@ -148,33 +147,6 @@ def f13(spark, sf):
     return table(spark, sf, "part").select(F.col("p_name").alias("a")).distinct().select("a", F.levenshtein("a", F.lit("blue ring")).cast("bigint").alias("d"))
 
 
-@query("f16_corrected_transcripts", f"WITH {CALLS} SELECT call_id, CASE WHEN k % 2 = 0 THEN 'CITY ENGINE ' ELSE 'respond MEDIC ' END || k || ' to main street' AS said FROM calls")
-def f16(spark, sf):
-    ship(spark)
-
-    @F.pandas_udf("string")
-    def fix(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: units.corrected(t, units.find_units(t, UNIT_WORDS)))
-
-    said = F.concat(F.when(F.col("k") % 2 == 0, "city enjine ").otherwise("respond medik "), F.col("k").cast("string"), F.lit(" to main street"))
-    return calls(spark, sf).select("call_id", fix(said).alias("said"))
-
-
-@query("f19_annotations", f"WITH {CALLS} SELECT call_id, CASE WHEN k % 2 = 0 THEN 0 ELSE 8 END::BIGINT AS start FROM calls")
-def f19(spark, sf):
-    ship(spark)
-    said = F.concat(F.when(F.col("k") % 2 == 0, "city enjine ").otherwise("respond medik "), F.col("k").cast("string"), F.lit(" to main street"))
-    return units.unit_mentions(calls(spark, sf).select("call_id", said.alias("transcript")), UNIT_WORDS).select("call_id", "start")
-
-
-CHANNELS = units.UnitWords(types=(units.FuzzyWord("CHANNEL", 2, ("CHAN",)), units.FuzzyWord("TAC", 0, ("TACK",))))
-
-
-@query("f18_channel_mentions", f"WITH {CALLS} SELECT call_id, CASE WHEN k % 2 = 0 THEN 'CHANNEL ' ELSE 'TAC ' END || talkgroup_ref AS channel FROM calls")
-def f18(spark, sf):
-    ship(spark)
-    said = F.concat(F.when(F.col("k") % 2 == 0, "switch to chanel ").otherwise("switch to tack "), F.col("talkgroup_ref").cast("string"))
-    return units.unit_mentions(calls(spark, sf).select("call_id", said.alias("transcript")), CHANNELS).select("call_id", F.col("unit").alias("channel"))
 
 
 @query("f25_street_scores")
