@@ -12,7 +12,7 @@ from ..sources.adapters import table
 from .registry import query
 
 TYPES = ["ENGINE", "MEDIC", "LADDER", "BATTALION", "RESCUE", "SQUAD", "TANKER"]
-PLACES = ["MAHONING", "LORDSTOWN", "BOARDMAN", "CHAMPION", "YOUNGSTOWN"]
+PLACES = ["YOUNGSTOWN", "LORDSTOWN", "BROOKFIELD", "MCDONALD", "WEATHERSFIELD"]
 SETTINGS = Settings(
     types=tuple(W(t, 1) for t in TYPES),
     prefixes=(W("CITY", 1), W("COUNTY", 1)),
