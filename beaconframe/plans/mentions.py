@@ -46,9 +46,10 @@ UNITS_SQL = f"""WITH {PLANTED} SELECT call_id, CASE call_id % 3 WHEN 0 THEN 'CIT
 
 
 def unit_said():
+    """A number comes first, so that no word of the text before is read with the prefix."""
     _, heard = _heard(TYPES, 3)
     prefix = F.when(F.col("doc_id") % 3 == 0, "cty ").when(F.col("doc_id") % 3 == 1, "County, ").otherwise("respond ")
-    return F.concat(prefix, heard, F.lit("-"), (F.col("doc_id") % 900).cast("string"))
+    return F.concat(F.lit("1. "), prefix, heard, F.lit("-"), (F.col("doc_id") % 900).cast("string"))
 
 
 CANDIDATE_WORDS = (W("TIONER", 1), W("EDAND", 2, ("ING ED",)), W("THEREOF", 2), W("ONER AND", 2), W("AN", 0), W("EST", 1, ("LE LA",)))
@@ -104,8 +105,8 @@ def f18(spark, sf):
 
 @query(
     "f19_annotations",
-    f"""SELECT call_id, trim(prefix || ' ' || type || ' ' || number) AS name, place + 1 + CASE WHEN prefix = '' THEN length('respond ') ELSE 0 END AS start,
- place + 1 + CASE WHEN prefix = '' THEN length('respond ') ELSE 0 END + length(trim(prefix || ' ' || type || ' ' || number)) AS stop FROM ({UNITS_SQL})""",
+    f"""SELECT call_id, trim(prefix || ' ' || type || ' ' || number) AS name, place + 4 + CASE WHEN prefix = '' THEN length('respond ') ELSE 0 END AS start,
+ place + 4 + CASE WHEN prefix = '' THEN length('respond ') ELSE 0 END + length(trim(prefix || ' ' || type || ' ' || number)) AS stop FROM ({UNITS_SQL})""",
 )
 def f19(spark, sf):
     """Places in characters of the transcript in which each mention has its plain spelling."""
