@@ -17,7 +17,7 @@ UNIT_WORDS = r"\b(?:ENGINE|MEDIC|SQUAD|TRUCK|UNIT|STATION|CAR|LADDER|RESCUE)\b"
 
 def may_have_location(text: Column, streets: list[str] | None = None) -> Column:
     """Whether a street type, a route, a hint, a house number before a word or a known street is in the text."""
-    up = F.upper(text)
+    up = F.regexp_replace(F.upper(text), r"[^\x00-\x7F]", "~")  # words are bounded by ASCII letters and digits
     out = up.rlike(rf"\b(?:{TYPES})\b") | up.rlike(ROUTES) | up.rlike(HINTS) | up.rlike(r"\b\d{2,6} [A-Z]{3,}")
     for street in streets or []:
         out = out | F.contains(up, F.lit(street.upper()))

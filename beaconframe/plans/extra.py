@@ -118,25 +118,6 @@ def f28(spark, sf):
     return calls(spark, sf).select("call_id", fix(said).alias("said"))
 
 
-@query("f30_location_screen", f"WITH {CALLS} SELECT call_id, k % 4 <> 3 AS located FROM calls")
-def f30(spark, sf):
-    said = F.element_at(F.array(F.lit("go to main street"), F.lit("on state route 12"), F.lit("at 1200 maple"), F.lit("stand by for traffic")), (F.col("k") % 4).cast("int") + 1)
-    return calls(spark, sf).select("call_id", address.may_have_location(said).alias("located"))
-
-
-@query("f31_rule_extraction", f"WITH {CALLS} SELECT call_id, (k + 10) || ' NORTH MAIN STREET' AS address, CASE WHEN k % 2 = 0 THEN '4B' END AS apartment FROM calls")
-def f31(spark, sf):
-    said = F.concat(F.lit("respond to "), (F.col("k") + 10).cast("string"), F.lit(" North Main Street"), F.when(F.col("k") % 2 == 0, " apartment 4b").otherwise(""))
-    found = address.extract(said)
-    return calls(spark, sf).select("call_id", found["address"].alias("address"), found["apartment"].alias("apartment"))
-
-
-@query("f32_address_guards", f"WITH {CALLS} SELECT call_id, CASE k % 5 WHEN 0 THEN '12 MAIN ST' END AS address FROM calls")
-def f32(spark, sf):
-    options = F.array(*[F.lit(x) for x in ("12 MAIN ST", "OKAY COPY THAT", "ABC 1234", "ENGINE 12", "99 OAK RD")])
-    return calls(spark, sf).select("call_id", address.kept_address(F.element_at(options, (F.col("k") % 5).cast("int") + 1), F.lit("fire at 1 2 main")).alias("address"))
-
-
 @query("f42_canonical_label", "SELECT p_partkey AS id, CASE upper(p_type) WHEN 'ECONOMY' THEN 'E' WHEN 'SMALL' THEN 'S' ELSE upper(p_type) END AS label FROM part")
 def f42(spark, sf):
     known = F.create_map(*[F.lit(x) for x in ("ECONOMY", "E", "SMALL", "S")])

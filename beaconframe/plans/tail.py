@@ -171,12 +171,6 @@ def f29(spark, sf):
     return calls(spark, sf).select("call_id", fix(F.lit("AT MANE STREET")).alias("said"))
 
 
-@query("f33_implausible_addresses", f"WITH {CALLS} SELECT call_id, k % 4 > 0 AS implausible FROM calls")
-def f33(spark, sf):
-    said = F.element_at(F.array(*[F.lit(x) for x in ("12 OAK RD", "YEAH GO AHEAD", "ABC-1234", "MEDIC 9")]), (F.col("k") % 4).cast("int") + 1)
-    return calls(spark, sf).select("call_id", (address.is_noise(said) | address.is_plate(said) | address.is_unit(said) | address.is_malformed(said)).alias("implausible"))
-
-
 @query("f37_locality_names", "SELECT n_nationkey::BIGINT AS id, CASE n_nationkey % 3 WHEN 0 THEN 'Jefferson' WHEN 1 THEN 'Morgan' ELSE n_name END AS name FROM nation")
 def f37(spark, sf):
     search = F.when(F.col("n_nationkey") % 3 == 0, "Jefferson Township, Ohio")
