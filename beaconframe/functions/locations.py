@@ -28,6 +28,7 @@ DIRECTIONS = frozenset("N S E W NORTH SOUTH EAST WEST NORTHEAST NORTHWEST SOUTHE
 #: Words that no street name holds; a name ends before them.
 STOPS = frozenset("THE A AN AT ON IN OF NEAR BY OFF AND OR TO FOR WITH IS ARE FROM CROSS CROSSES BETWEEN RESPOND GO AROUND ACROSS THAT TIME YOUR WE YOU THEY IT S HAS HAVE RESPONDED UNIT ENGINE MEDIC STATION SQUAD APARTMENT APT ROOM SUITE LOT".split())
 ROUTES = {("STATE", "ROUTE"): "SR", ("SR",): "SR", ("ROUTE",): "SR", ("RT",): "SR", ("US", "ROUTE"): "US", ("US",): "US", ("INTERSTATE",): "I", ("I",): "I", ("COUNTY", "ROAD"): "CR", ("CR",): "CR"}
+_ROUTE_HEADS = frozenset(k[0] for k in ROUTES)
 ROOMS = frozenset("APARTMENT APT UNIT ROOM SUITE LOT BUILDING".split())
 FACILITIES = frozenset("SCHOOL CHURCH HOSPITAL PLAZA PARK APARTMENTS MANOR MOTEL HOTEL LIBRARY CLINIC MALL".split())
 #: What may follow a pair of bare street names: then they are a place, and not two things in a sentence.
@@ -76,6 +77,7 @@ class Names:
             self.streets.setdefault(words, full[0] if len(set(full)) == 1 else " ".join(words))
         self.places = {tuple(p.upper().split()): p.upper() for p in known.places}
         self.longest = max(map(len, [*self.streets, *self.places]), default=0)
+        self.heads = {k[0] for k in [*self.streets, *self.places] if k}
 
     def at(self, words: list[str], i: int) -> Atom | None:
         for n in range(min(self.longest, len(words) - i), 0, -1):
@@ -94,12 +96,12 @@ def atoms_of(words: list[str], names: Names) -> dict[int, list[Atom]]:
     """Atoms by the token that they begin with."""
     out: dict[int, list[Atom]] = {}
     for i, w in enumerate(words):
-        if known := names.at(words, i):
+        if w in names.heads and (known := names.at(words, i)):
             out.setdefault(i, []).append(known)
-        for head, short in ROUTES.items():
+        for head, short in ROUTES.items() if w in _ROUTE_HEADS else ():
             if tuple(words[i : i + len(head)]) == head and i + len(head) < len(words) and re.fullmatch(r"\d{1,3}", words[i + len(head)]):
                 out.setdefault(i, []).append(Atom("route", i + len(head), f"{short} {words[i + len(head)]}"))
-        if re.fullmatch(r"\d{1,6}|\d{1,3}-\d{1,3}", w):
+        if w[0].isdigit() and re.fullmatch(r"\d{1,6}|\d{1,3}-\d{1,3}", w):
             out.setdefault(i, []).append(Atom("house", i, w.replace("-", "")))
         if w in TYPES and i and words[i - 1].isalnum():
             first = i
@@ -221,9 +223,10 @@ def tidy(address: str) -> str:
     return TAILS.sub("", upper(address).strip())
 
 
+@lru_cache(maxsize=1 << 18)
 def _alike(a: str, b: str) -> bool:
     """Equal, or one misheard letter (two in words of eight letters and more); numbers only equal."""
-    return a == b or min(len(a), len(b)) >= 4 and a.isalpha() and b.isalpha() and edits(a, b, 2) <= (2 if min(len(a), len(b)) >= 8 else 1)
+    return a == b or min(len(a), len(b)) >= 4 and abs(len(a) - len(b)) <= 2 and a.isalpha() and b.isalpha() and edits(a, b, 2) <= (2 if min(len(a), len(b)) >= 8 else 1)
 
 
 def alignment(wanted: list[str], said: list[str]) -> tuple[int, int, int]:
