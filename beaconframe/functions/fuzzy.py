@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 from .units import FuzzyWord
 
@@ -55,11 +56,9 @@ def tokens_of(texts: list[bytes]) -> Tokens:
 
 
 def _matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(w) for w in words], np.int64)
-    out = np.zeros((len(words), max(sizes.max(initial=0), 1)), np.uint8)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = np.frombuffer(w, np.uint8)
-    return out, sizes
+    """The words' bytes, a padded row each, and their lengths; no word holds a zero byte."""
+    packed = np.array(words, f"S{max(map(len, words), default=1) or 1}")
+    return packed.view(np.uint8).reshape(len(words), packed.itemsize), np.char.str_len(packed).astype(np.int64)
 
 
 def edit_distances(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
@@ -114,7 +113,7 @@ class Index:
         return code
 
     def match(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """For each different token the number of its word, -1 without one, and the distance."""
+        """For each token the number of its word, -1 without one, and the distance."""
         word = np.array([self.exact.get(t, -1) for t in tokens], np.int64)
         distance = np.zeros(len(tokens), np.int64)
         rest = np.flatnonzero(word < 0)
@@ -146,29 +145,35 @@ class Index:
 
     def candidates(self, tokens: Tokens, merge: int = 3) -> dict[int, list[tuple[int, int, int, int]]]:
         """By text: (first token, last token, word, distance), in order; a token begins one candidate at most, of as few tokens as match."""
-        open_ = np.flatnonzero(~tokens.digits)
-        found: list[np.ndarray] = []
-        end = open_.copy()
+        letters = tokens.data[_CLASS[tokens.data] > 0]  # neighbouring tokens lie end to end
+        sizes = tokens.stop - tokens.start
+        offset = np.cumsum(sizes) - sizes
+        letters = np.append(letters, np.zeros(self.longest, np.uint8))
+        first = np.flatnonzero(~tokens.digits)
+        last, found = first.copy(), [np.empty((0, 4), np.int64)]
         for m in range(merge):
             if m:
-                end = end + 1
-                inside = end < len(tokens.start)
-                open_, end = open_[inside], end[inside]
-                same = (tokens.doc[end] == tokens.doc[open_]) & ~tokens.digits[end]
-                open_, end = open_[same], end[same]
-            size = sum((tokens.stop[open_ + k] - tokens.start[open_ + k] for k in range(m + 1)), np.zeros(len(open_), np.int64))
-            fits = np.flatnonzero((size >= self.least) & (size <= self.longest))
-            raw = tokens.data.tobytes() if not m else raw
-            texts = [b"".join(raw[tokens.start[i + k] : tokens.stop[i + k]] for k in range(m + 1)) for i in open_[fits].tolist()]
-            different = {t: n for n, t in enumerate(dict.fromkeys(texts))}
-            word, distance = self.match(list(different))
-            which = np.array([different[t] for t in texts], np.int64)
-            hit = np.flatnonzero(word[which] >= 0) if len(which) else np.empty(0, np.int64)
-            found.append(np.stack([open_[fits[hit]], end[fits[hit]], word[which[hit]], distance[which[hit]]], 1) if len(hit) else np.empty((0, 4), np.int64))
-            keep = np.ones(len(open_), bool)
+                last = last + 1
+                inside = last < len(sizes)
+                first, last = first[inside], last[inside]
+                same = (tokens.doc[last] == tokens.doc[first]) & ~tokens.digits[last]
+                first, last = first[same], last[same]
+            size = offset[last] + sizes[last] - offset[first]
+            short = size <= self.longest
+            first, last, size = first[short], last[short], size[short]
+            fits = np.flatnonzero(size >= self.least)
+            if not len(fits):
+                continue
+            place = np.arange(self.longest)
+            merged = np.where(place < size[fits, None], letters[offset[first[fits], None] + place], np.uint8(0))
+            coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(self.longest), len(fits), [None, pa.py_buffer(np.ascontiguousarray(merged))]).dictionary_encode()
+            word, distance = self.match([t.rstrip(b"\0") for t in coded.dictionary.to_pylist()])
+            which = coded.indices.to_numpy()
+            hit = word[which] >= 0
+            found.append(np.stack([first[fits[hit]], last[fits[hit]], word[which[hit]], distance[which[hit]]], 1))
+            keep = np.ones(len(first), bool)
             keep[fits[hit]] = False
-            too_long = size > self.longest
-            open_, end = open_[keep & ~too_long], end[keep & ~too_long]
+            first, last = first[keep], last[keep]
         rows = np.concatenate(found)
         rows = rows[np.argsort(rows[:, 0], kind="stable")]
         out: dict[int, list[tuple[int, int, int, int]]] = {}

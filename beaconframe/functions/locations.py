@@ -232,8 +232,24 @@ def _alike(a: str, b: str) -> bool:
 def alignment(wanted: list[str], said: list[str]) -> tuple[int, int, int]:
     """The best local alignment of the address's words with the transcript's: how many match, and the first and the last word said (-1 without any).
 
-    A match gives three, each word left out on either side takes one.
+    A match gives three, each word left out on either side takes one.  So no alignment
+    reaches farther from a match than three times the address's length, and what lies
+    beyond that is left out.
     """
+    near = {s for s in set(said) if any(_alike(w, s) for w in wanted)}
+    reach, best, start = 3 * len(wanted), (0, 0, -1, -1), None
+    places = [j for j, s in enumerate(said) if s in near]
+    for j, after in zip(places, [*places[1:], len(said) + 2 * reach + 1]):
+        start = j if start is None else start
+        if after - j > reach:
+            score, n, first, last = _aligned_part(wanted, said[start : j + 1])
+            best = max(best, (score, n, first + start, last + start), key=lambda o: (o[0], -o[2]))
+            start = None
+    return best[1:]
+
+
+def _aligned_part(wanted: list[str], said: list[str]) -> tuple[int, int, int, int]:
+    """The score, and as in `alignment`."""
     best = (0, 0, -1, -1)
     row = [(0, 0, -1, -1)] * (len(said) + 1)
     for w in wanted:
@@ -249,7 +265,7 @@ def alignment(wanted: list[str], said: list[str]) -> tuple[int, int, int]:
             new.append(max(options, key=lambda o: (o[0], -o[2])))
         row = new
         best = max([best, *row], key=lambda o: (o[0], -o[2]))
-    return best[1:]
+    return best
 
 
 def aligned(address: str, transcript: str) -> bool:

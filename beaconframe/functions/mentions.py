@@ -83,7 +83,7 @@ class _Text:
 
     def free(self, candidates: list, consumed: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
         """Candidates with token numbers of this text, without those that reach into consumed spans."""
-        gone = {i for i, (a, _) in enumerate(self.spans) if any(s <= a < e for s, e in consumed)}
+        gone = {i for i, (a, _) in enumerate(self.spans) if any(s <= a < e for s, e in consumed)} if consumed else set()
         moved = [(a - self.offset, b - self.offset, w, d) for a, b, w, d in candidates]
         return [c for c in moved if not gone & set(range(c[0], c[1] + 1))]
 
