@@ -35,25 +35,83 @@ def arrival_order(*keys: str):
     return Window.partitionBy(*keys).orderBy("ts_ms", "call_id")
 
 
+#: Width of the slices that channels are cut into.  One slice of one channel is sorted in one task.
+SLICE_MS = 86_400_000
+
+
+def _sliced(rows: DataFrame, slice_ms: int) -> DataFrame:
+    return rows.withColumn("slice_", F.floor(F.col("ts_ms") / slice_ms))
+
+
+def _with_carried(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    """Joins a row for each (keys, slice), where keys may be null."""
+    other = carried.select(*[F.col(k).alias(f"of_{k}") for k in [*keys, "slice_"]], "carried_")
+    same = [rows[k].eqNullSafe(other[f"of_{k}"]) for k in keys] + [rows["slice_"] == other["of_slice_"]]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return rows.join(other, on, "left").drop(*other.columns[:-1])
+
+
+def with_previous(rows: DataFrame, keys: list[str], *columns: str, slice_ms: int = SLICE_MS) -> DataFrame:
+    """Adds ``previous``, a struct of ts_ms, call_id and ``columns`` of the row before on the channel, null for a channel's first.
+
+    A channel is cut into slices of time, so however busy it is, no task sorts more
+    than a slice.  The last row of each slice is handed on to the next one that has
+    rows; only these, one a slice, are put in order by channel.
+    """
+    cut = _sliced(rows, slice_ms)
+    row = F.struct("ts_ms", "call_id", *[c for c in columns if c not in ("ts_ms", "call_id")])
+    last = cut.groupBy(*keys, "slice_").agg(F.max(row).alias("last_"))
+    carried = last.withColumn("carried_", F.lag("last_").over(Window.partitionBy(*keys).orderBy("slice_")))
+    local = cut.withColumn("local_", F.lag(row).over(arrival_order(*keys, "slice_")))
+    return _with_carried(local, carried, keys).withColumn("previous", F.coalesce("local_", "carried_")).drop("local_", "carried_", "slice_")
+
+
+def running_sum(rows: DataFrame, keys: list[str], column: str, name: str, slice_ms: int = SLICE_MS) -> DataFrame:
+    """Adds the sum of ``column`` over the channel's rows up to each; a slice begins with the sum of those before it."""
+    cut = _sliced(rows, slice_ms)
+    totals = cut.groupBy(*keys, "slice_").agg(F.sum(column).alias("sum_"))
+    before = Window.partitionBy(*keys).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.withColumn("carried_", F.coalesce(F.sum("sum_").over(before), F.lit(0)))
+    upto = arrival_order(*keys, "slice_").rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.withColumn("local_", F.sum(column).over(upto))
+    return _with_carried(local, carried, keys).withColumn(name, F.col("local_") + F.col("carried_")).drop("local_", "carried_", "slice_")
+
+
+def over_band(rows: DataFrame, keys: list[str], back_ms: int, ahead_ms: int, value: Column, name: str, copied: Column | None = None, slice_ms: int = SLICE_MS) -> DataFrame:
+    """Adds ``value``, an aggregate, over the channel's rows from ``back_ms`` before to ``ahead_ms`` after each row.
+
+    Rows near the edge of a slice are copied to the slices that look at them, all
+    rows or those where ``copied`` holds.
+    """
+    width = max(slice_ms, abs(back_ms) + abs(ahead_ms) + 1)
+    own = F.floor(F.col("ts_ms") / width)
+    first, last = F.floor((F.col("ts_ms") - max(ahead_ms, 0)) / width), F.floor((F.col("ts_ms") + max(back_ms, 0)) / width)
+    places = F.sequence(first, last)
+    if copied is not None:
+        places = F.when(copied, places).otherwise(F.array(own))
+    dealt = rows.withColumn("slice_", F.explode(places)).withColumn("own_", F.col("slice_") == own)
+    w = Window.partitionBy(*keys, "slice_").orderBy("ts_ms").rangeBetween(-back_ms, ahead_ms)
+    return dealt.withColumn(name, value.over(w)).where("own_").drop("slice_", "own_")
+
+
 def chained_duplicates(calls: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
     """Whether a call follows the one before it on its channel within the window, whether or not that one was a duplicate itself."""
-    gap = F.col("ts_ms") - F.lag("ts_ms").over(arrival_order(*keys))
-    return calls.withColumn("duplicate", F.coalesce(gap <= window_ms, F.lit(False)))
+    gap = F.col("ts_ms") - F.col("previous.ts_ms")
+    return with_previous(calls, keys).withColumn("duplicate", F.coalesce(gap <= window_ms, F.lit(False))).drop("previous")
 
 
 def prior_arrival(calls: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
     """The arrival just before, if it is within the window and of similar duration."""
-    w = arrival_order(*keys)
-    before, length = F.lag("ts_ms").over(w), F.lag("duration").over(w)
-    near = (F.col("ts_ms") - before <= window_ms) & similar_duration(F.col("duration"), length)
-    return calls.withColumn("prior", F.when(near, F.lag("call_id").over(w)))
+    near = (F.col("ts_ms") - F.col("previous.ts_ms") <= window_ms) & similar_duration(F.col("duration"), F.col("previous.duration"))
+    return with_previous(calls, keys, "duration").withColumn("prior", F.when(near, F.col("previous.call_id"))).drop("previous")
 
 
 def sessions(calls: DataFrame, keys: list[str], gap_ms: int) -> DataFrame:
     """Numbers runs of calls on a channel that follow each other within the gap."""
-    w = arrival_order(*keys)
-    opens = F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(w) > gap_ms).cast("int"), F.lit(0))
-    return calls.withColumn("opens", opens).withColumn("session", F.sum("opens").over(w)).drop("opens")
+    opens = F.coalesce((F.col("ts_ms") - F.col("previous.ts_ms") > gap_ms).cast("int"), F.lit(0))
+    return running_sum(with_previous(calls, keys).withColumn("opens", opens).drop("previous"), keys, "opens", "session").drop("opens")
 
 
 def fired(calls: DataFrame, keys: list[str], cooldown_ms: int) -> DataFrame:
@@ -75,7 +133,18 @@ def fired(calls: DataFrame, keys: list[str], cooldown_ms: int) -> DataFrame:
     return grouped.select(*keys, F.explode(F.aggregate("rows", empty, step)["ids"]).alias("call_id"))
 
 
+def anchored_windows(calls: DataFrame, keys: list[str], window_ms: int, name: str = "window_ms") -> DataFrame:
+    """Adds the time of the call that opened each call's window.
+
+    A window opens with the first call later than ``window_ms`` after the last one
+    opened, and takes all calls up to that.
+    """
+    opens = fired(calls, keys, window_ms + 1).select("call_id", F.lit(True).alias("opens_"))
+    marked = calls.join(opens, "call_id", "left")
+    return over_band(marked, keys, window_ms, 0, F.max(F.when(F.col("opens_"), F.col("ts_ms"))), name, F.col("opens_").isNotNull()).drop("opens_")
+
+
 def next_matching(calls: DataFrame, keys: list[str], matches: Column, window_ms: int) -> DataFrame:
     """For each call the first later one on its channel within the window that matches."""
-    w = Window.partitionBy(*keys).orderBy("ts_ms").rangeBetween(1, window_ms)
-    return calls.withColumn("next_call", F.min(F.when(matches, F.struct("ts_ms", "call_id"))).over(w)["call_id"])
+    first = F.min(F.when(matches, F.struct("ts_ms", "call_id")))
+    return over_band(calls, keys, -1, window_ms, first, "next_call", matches).withColumn("next_call", F.col("next_call.call_id"))

@@ -268,6 +268,15 @@ def t37(spark, sf):
     return talkgroups(spark).select("talkgroup_ref", F.when(F.array_contains(F.array(F.lit("fire"), F.lit("ems")), F.col("tag")), True).otherwise(F.col("alerts")).alias("detect"))
 
 
-@query("w12_request_windows", f"WITH {CALLS} SELECT unit_ref, ts_ms // 3600000 AS hour, count(*) AS requests, count(*) > 2 AS limited FROM calls GROUP BY 1, 2")
+@query(
+    "w12_request_windows",
+    f"""WITH RECURSIVE {CALLS}, f AS (SELECT unit_ref, min(ts_ms) AS s FROM calls GROUP BY 1 UNION ALL SELECT f.unit_ref, (SELECT min(ts_ms) FROM calls c WHERE c.unit_ref = f.unit_ref AND c.ts_ms > f.s + 172800000) FROM f WHERE f.s IS NOT NULL)
+ SELECT f.unit_ref, s AS window_ms, count(*) AS requests, least(count(*), 2) AS allowed, greatest(count(*) - 2, 0) AS rejected FROM f JOIN calls c ON c.unit_ref = f.unit_ref AND c.ts_ms >= s AND c.ts_ms <= s + 172800000 GROUP BY 1, 2""",
+)
 def w12(spark, sf):
-    return calls(spark, sf).groupBy("unit_ref", F.expr(f"ts_ms div {60 * MINUTE}").alias("hour")).agg(F.count(F.lit(1)).alias("requests"), (F.count(F.lit(1)) > 2).alias("limited"))
+    """Windows that open with the first request; two requests in each are allowed."""
+    placed = temporal.anchored_windows(calls(spark, sf), ["unit_ref"], 48 * 60 * MINUTE)
+    n = F.count(F.lit(1))
+    return placed.groupBy("unit_ref", "window_ms").agg(n.alias("requests"), F.least(n, F.lit(2)).alias("allowed"), F.greatest(n - 2, F.lit(0)).alias("rejected"))
+
+

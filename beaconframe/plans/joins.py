@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import temporal
+from ..operators.numbering import numbered
 from ..sources.adapters import CALLS, SYSTEMS, TALKGROUPS, calls, systems, table, talkgroups
 from .registry import query
 
@@ -224,9 +225,8 @@ def j28(spark, sf):
 def j29(spark, sf):
     refs = table(spark, sf, "lineitem").where("l_quantity > 45").select((F.col("l_suppkey") * 2).alias("ref")).distinct()
     known = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ref"))
-    number = F.row_number().over(Window.orderBy("ref"))
-    bad = refs.join(known, "ref", "left_anti").withColumn("n", number)
-    free = known.join(refs, "ref", "left_anti").withColumn("n", number).select("n", F.col("ref").alias("mapped"))
+    bad = numbered(refs.join(known, "ref", "left_anti"), ["ref"], "n")
+    free = numbered(known.join(refs, "ref", "left_anti"), ["ref"], "n").select("n", F.col("ref").alias("mapped"))
     return bad.join(free, "n", "left").select("ref", "mapped")
 
 
@@ -257,8 +257,7 @@ def w01(spark, sf):
 
 @query("w02_prior_gap", f"WITH {CALLS} SELECT call_id, ts_ms - lag(ts_ms) OVER (PARTITION BY system_ref, talkgroup_ref ORDER BY ts_ms, call_id) AS gap_ms FROM calls")
 def w02(spark, sf):
-    gap = F.col("ts_ms") - F.lag("ts_ms").over(temporal.arrival_order("system_ref", "talkgroup_ref"))
-    return calls(spark, sf).select("call_id", gap.alias("gap_ms"))
+    return temporal.with_previous(calls(spark, sf), ["system_ref", "talkgroup_ref"]).select("call_id", (F.col("ts_ms") - F.col("previous.ts_ms")).alias("gap_ms"))
 
 
 @query("w03_chained_duplicates", f"WITH {CALLS} SELECT call_id, COALESCE(ts_ms - lag(ts_ms) OVER (PARTITION BY system_ref, talkgroup_ref ORDER BY ts_ms, call_id) <= 600000, FALSE) AS duplicate FROM calls")
@@ -306,8 +305,9 @@ def w09(spark, sf):
 
 @query("w11_last_minute_counts", f"WITH {CALLS} SELECT call_id, count(*) OVER (PARTITION BY talkgroup_ref ORDER BY ts_ms // 1000 RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS calls FROM calls")
 def w11(spark, sf):
-    w = Window.partitionBy("talkgroup_ref").orderBy(F.expr("ts_ms div 1000")).rangeBetween(-3599, 0)
-    return calls(spark, sf).select("call_id", F.count(F.lit(1)).over(w).alias("calls"))
+    """The last 3,600 seconds, in whole seconds."""
+    seconds = calls(spark, sf).withColumn("ts_ms", F.expr("ts_ms div 1000 * 1000"))
+    return temporal.over_band(seconds, ["talkgroup_ref"], 3_599_000, 0, F.count(F.lit(1)), "calls").select("call_id", "calls")
 
 
 @query("w13_missed_calls", f"WITH {CALLS}, r AS (SELECT call_id, unit_ref, row_number() OVER (PARTITION BY unit_ref ORDER BY ts_ms DESC, call_id DESC) AS n FROM calls) SELECT call_id, unit_ref FROM r WHERE n <= 5")

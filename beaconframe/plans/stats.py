@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import stats
+from ..operators.numbering import numbered
 from ..sources.adapters import CALLS, DAY, HOUR, SYSTEMS, TALKGROUPS, calls, last_moment, systems, table, talkgroups
 from .registry import query
 
@@ -280,7 +281,7 @@ def a36(spark, sf):
 @query("a37_next_order", "SELECT s_suppkey AS ref, CAST((SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY s_suppkey) AS BIGINT) AS place FROM supplier")
 def a37(spark, sf):
     last = table(spark, sf, "nation").agg(F.max("n_nationkey")).collect()[0][0]
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ref"), (F.row_number().over(Window.orderBy("s_suppkey")) + last).cast("bigint").alias("place"))
+    return numbered(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ref")), ["ref"], "n").select("ref", (F.col("n") + last).alias("place"))
 
 
 @query("a38_geocode_outcomes", f"WITH {CALLS} SELECT CASE WHEN k < 10 THEN 'error' WHEN k < 40 THEN 'miss' ELSE 'hit' END AS outcome, count(*) AS n FROM calls GROUP BY 1")

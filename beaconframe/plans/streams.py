@@ -154,9 +154,12 @@ def t31(spark, sf):
 def t33(spark, sf):
     """Fixed windows that open with the first call after the last one closed."""
     c = calls(spark, sf)
-    opens = temporal.fired(c, ["unit_ref"], 86_400_000).join(c.select("call_id", F.col("ts_ms").alias("window_ms")), "call_id").select("unit_ref", "call_id", "window_ms")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("unit_ref").orderBy("ts_ms", "call_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = c.join(opens.select("call_id", "window_ms"), "call_id", "left").withColumn("window_ms", F.last("window_ms", ignorenulls=True).over(w))
+    placed = temporal.anchored_windows(c, ["unit_ref"], 86_399_999)
     return placed.groupBy("unit_ref", "window_ms").agg(F.count(F.lit(1)).alias("calls"), (F.count(F.lit(1)) > 3).alias("limited"))
+
+
+@query("t33_login_lockouts")
+def t33b(spark, sf):
+    """Whether each attempt met a block: six failures block a unit for a day; a success in between clears the count."""
+    attempts = call_stream(spark, sf).select("unit_ref", "call_id", "ts_ms", "at", (F.col("k") < 80).alias("failed"))
+    return run_timed(timers.lockouts(attempts, ["unit_ref"], 6, 24 * HOUR))

@@ -169,3 +169,57 @@ def arrivals(stream: DataFrame, keys: list[str], window_ms: int, delay: str = "0
     rows = stream.select(*keys, "call_id", "ts_ms", "at").withWatermark("at", delay)
     processor = LastArrival([*keys, "kind", "call_id", "ts_ms"], window_ms, max(2 * window_ms, least_ttl_ms))
     return rows.groupBy(*keys).transformWithStateInPandas(processor, out, "Append", "eventTime")
+
+
+class Lockout(_Timed):
+    """A key's failures in a row, and until when it is blocked."""
+
+    def __init__(self, columns: list[str], most: int, block_ms: int):
+        self.columns, self.most, self.block_ms = columns, most, block_ms
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.record = handle.getValueState("record", "failures bigint, until bigint, last bigint")
+
+    def _keep(self, failures: int, until: int | None, last: int) -> None:
+        """A key without failures has no state; one whose block is over loses it two block times after its last attempt."""
+        if failures:
+            self.record.update((failures, until if until is not None else -1, last))
+            self.set_timer(max(until, last + 2 * self.block_ms) + 1 if until is not None else None)
+        else:
+            self.record.clear()
+            self.set_timer(None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        failures, until, last = self.record.get() if self.record.exists() else (0, -1, 0)
+        failures, until, out = int(failures), None if until < 0 else int(until), []
+        for r in _sorted(rows).itertuples():
+            if until is not None and r.ts_ms > until:
+                failures, until = 0, None
+            blocked = until is not None
+            last = int(r.ts_ms)
+            if not blocked and r.failed:
+                failures += 1
+                until = last + self.block_ms if failures >= self.most else None
+            elif not blocked:
+                failures = 0
+            out.append((*key, r.call_id, blocked, until - last if blocked else 0))
+        self._keep(failures, until, last)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.record.clear()
+        self.timer.clear()
+        yield pd.DataFrame([], columns=self.columns)
+
+
+def lockouts(stream: DataFrame, keys: list[str], most: int, block_ms: int, delay: str = "0 seconds") -> DataFrame:
+    """keys, call_id, blocked, left_ms: for each attempt whether it met a block, and how much of that was left.
+
+    ``most`` failures without a success between block a key for ``block_ms`` after the
+    last of them; a blocked attempt is turned away and counts for nothing.
+    """
+    kinds = dict(stream.dtypes)
+    out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", call_id bigint, blocked boolean, left_ms bigint"
+    rows = stream.select(*keys, "call_id", "ts_ms", "failed", "at").withWatermark("at", delay)
+    return rows.groupBy(*keys).transformWithStateInPandas(Lockout([*keys, "call_id", "blocked", "left_ms"], most, block_ms), out, "Append", "eventTime")

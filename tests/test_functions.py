@@ -184,3 +184,40 @@ def test_sustained_tones():
     assert all(t["start"] == pytest.approx(1, abs=0.25) and t["end"] == pytest.approx(2, abs=0.25) for t in found)
     assert signal.sustained_tones(0.02 * noisy([blank, both, blank]), 8000) == []
     assert signal.sustained_tones(np.zeros(100), 8000) == signal.sustained_tones(np.zeros(9000), 8000) == []
+
+
+def busy_channel(spark):
+    """One channel with nine calls in ten, some at equal times, over several slices; two quiet ones, one of them without a name."""
+    rows, ts = [], 1_000
+    for i in range(400):
+        ts += (7 * i * i + 3 * i) % 97 * (0 if i % 9 == 0 else 1)
+        rows.append((i, [1, 1, 1, 1, 1, 2, 1, 1, 1, None][i % 10], ts, float(i % 7), i % 5))
+    return rows, spark.createDataFrame(rows, "call_id bigint, channel int, ts_ms bigint, duration double, k int").repartition(5)
+
+
+def test_sliced_windows(spark):
+    from pyspark.sql import Window
+
+    rows, calls = busy_channel(spark)
+    w = Window.partitionBy("channel").orderBy("ts_ms", "call_id")
+    plain = calls.select("call_id", F.lag("call_id").over(w).alias("previous"), F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+    want = {r.call_id: (r.previous, r.total) for r in plain.collect()}
+    for width in (150, 1_000, 10**9):
+        got = temporal.running_sum(temporal.with_previous(calls, ["channel"], "duration", slice_ms=width), ["channel"], "k", "total", slice_ms=width)
+        assert {r.call_id: (r.previous and r.previous.call_id, r.total) for r in got.collect()} == want
+    for back, ahead in ((300, 0), (-1, 200), (50, 60)):
+        band = F.count(F.lit(1))
+        plain = calls.withColumn("n", band.over(Window.partitionBy("channel").orderBy("ts_ms").rangeBetween(-back, ahead)))
+        got = temporal.over_band(calls, ["channel"], back, ahead, band, "n", slice_ms=400)
+        assert {r.call_id: r.n for r in got.collect()} == {r.call_id: r.n for r in plain.collect()}
+    assert temporal.with_previous(calls.limit(0), ["channel"]).count() == 0
+
+
+def test_numbered(spark):
+    from beaconframe.operators.numbering import numbered
+
+    rows = [(i * 37 % 101, f"x{i}", i) for i in range(101)] + [(None, "none", 0)]
+    frame = spark.createDataFrame(rows, "id int, name string, n int").repartition(7)
+    got = numbered(frame, ["id"], "number").collect()
+    assert [(r.number, r.id) for r in sorted(got, key=lambda r: r.number)] == list(enumerate([None, *range(101)], 1))
+    assert {(r.id, r.name, r.n) for r in got} == set(rows) and numbered(frame.limit(0), ["id"], "number").count() == 0

@@ -122,3 +122,20 @@ def test_state_goes(spark, tmp_path):
     gone += [(c, "evicted", None, t) for c, t in last.items() if newest - t > 3_600_000]
     assert gone and any(m[1] == "duplicate" for m in marks)
     assert collections.Counter(map(tuple, got)) == collections.Counter(marks + gone)
+
+
+def test_lockouts(spark, tmp_path):
+    rows = made_up(11, 300)
+    stream = as_stream(spark, rows, f"{tmp_path}/in", 4).withColumn("failed", F.col("call_id") % 7 != 0)
+    got = run_timed(timers.lockouts(stream, ["channel"], 4, 60 * SECOND)).collect()
+    count, until, want = {}, {}, []
+    for channel, _, call, ts, _ in rows:
+        if channel in until and ts > until[channel]:
+            del until[channel]
+            count[channel] = 0
+        want.append((channel, call, channel in until, until[channel] - ts if channel in until else 0))
+        if channel not in until:
+            count[channel] = count.get(channel, 0) + 1 if call % 7 else 0
+            if count[channel] == 4:
+                until[channel] = ts + 60 * SECOND
+    assert any(w[2] for w in want) and collections.Counter(map(tuple, got)) == collections.Counter(want)
