@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import tags
-from ..sources.adapters import CALLS, KINDS, calls
+from ..operators.geometry import points_in_rings
+from ..sources import shapes, tags
+from ..sources.adapters import CALLS, KINDS, calls, table
 from ..sources.shared import ship, written
 from .registry import query
 
@@ -36,3 +37,47 @@ def s06(spark, sf):
 
     files = written(calls(spark, sf).select("call_id", title.alias("title"), artist.alias("artist"), comment.alias("comment")).mapInArrow(run, "path string, content binary"))
     return tags.tagged_calls(files).withColumn("path", F.col("path").cast("bigint")).withColumnRenamed("path", "call_id")
+
+
+# A boundary of each customer: an L of two boxes to the north and the east of its place, and a smaller ring beside it.
+L_SQL = "SELECT lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS geoid, c_name AS name, lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS state, 40 + c_acctbal / 10000 AS y, -80 + c_nationkey / 10.0 AS x, 0.01 + c_custkey % 5 / 1000.0 AS s FROM customer"
+
+
+def boundary_files(spark, sf):
+    """A pair of files for each nation, with its customers' boundaries."""
+    ship(spark)
+    c = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_name", (40 + F.col("c_acctbal") / 10000).alias("y"), (-80 + F.col("c_nationkey") / 10.0).alias("x"), (0.01 + F.col("c_custkey") % 5 / 1000.0).alias("s"))
+
+    def run(key, rows):
+        import pandas as pd
+
+        made = []
+        for r in rows.itertuples():
+            x, y, s = r.x, r.y, r.s
+            ring = [(x, y), (x, y + 2 * s), (x + s, y + 2 * s), (x + s, y + s), (x + 2 * s, y + s), (x + 2 * s, y), (x, y)]
+            made.append(({"GEOID": f"{r.c_custkey:07d}", "NAME": r.c_name, "STATEFP": str(key[0])}, [[(x - s, y), (x - s, y + s), (x - 2 * s, y), (x - s, y)], ring]))
+        shp, dbf = shapes.write_shapes(made, {"STATEFP": 2, "GEOID": 12, "NAME": 40})
+        return pd.DataFrame([(f"nation_{key[0]}", shp, dbf)], columns=["stem", "shp", "dbf"])
+
+    return written(c.groupBy("c_nationkey").applyInPandas(run, "stem string, shp binary, dbf binary"))
+
+
+@query("s18_boundaries", f"WITH l AS ({L_SQL}) SELECT geoid, name, state, y AS min_lat, x AS min_lon, y + 2 * s AS max_lat, x + 2 * s AS max_lon, 7 AS points FROM l")
+def s18(spark, sf):
+    return shapes.features(boundary_files(spark, sf)).select("geoid", "name", "state", "min_lat", "min_lon", "max_lat", "max_lon", F.size("ring").alias("points"))
+
+
+@query("s18_one_state", f"WITH l AS ({L_SQL}) SELECT geoid, name FROM l WHERE state = '03'")
+def s18b(spark, sf):
+    """The state filter, which is the feature: other states' shapes are not decoded."""
+    return shapes.features(boundary_files(spark, sf), "3").select("geoid", "name")
+
+
+@query(
+    "s18_points_in_boundaries",
+    f"""WITH l AS ({L_SQL}), p AS (SELECT s_suppkey AS id, 40 + s_acctbal / 10000 AS lat, -80 + s_nationkey / 10.0 + s_suppkey % 7 * 0.003 AS lon FROM supplier)
+ SELECT id, geoid FROM p JOIN l ON lon >= x AND lat >= y AND ((lon < x + 2 * s AND lat < y + s) OR (lon < x + s AND lat < y + 2 * s))""",
+)
+def s18c(spark, sf):
+    points = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (40 + F.col("s_acctbal") / 10000).alias("lat"), (-80 + F.col("s_nationkey") / 10.0 + F.col("s_suppkey") % 7 * 0.003).alias("lon"))
+    return points_in_rings(points, shapes.features(boundary_files(spark, sf)))
