@@ -165,20 +165,6 @@ def m27(spark, sf):
     return spark.createDataFrame(sorted(geo.colours(near).items()), "id bigint, colour bigint")
 
 
-@query("m19_tone_set_match", f"WITH {CALLS} SELECT call_id, abs(duration - 20) <= 10 AND abs(k - 40) <= 10 AS matches FROM calls")
-def m19(spark, sf):
-    sets = F.array(F.struct(F.lit(20.0).alias("a"), F.lit(40.0).alias("b"), F.lit(0.02).alias("tolerance")))
-    tones = F.array(F.col("duration"), F.col("k").cast("double"))
-    hit = F.exists(sets, lambda s: (F.abs(F.get(tones, F.lit(0)) - s["a"]) <= s["tolerance"] * 500) & (F.abs(F.get(tones, F.lit(1)) - s["b"]) <= s["tolerance"] * 500))
-    return calls(spark, sf).select("call_id", hit.alias("matches"))
-
-
-@query("m33_known_tone_sets", f"WITH {CALLS} SELECT k, min(duration) AS tone, count(*) FILTER (abs(duration - 50) <= 20) > 0 AS known FROM calls GROUP BY 1")
-def m33(spark, sf):
-    rows = calls(spark, sf).groupBy("k").agg(F.collect_list("duration").alias("d"))
-    return rows.select("k", F.array_min("d").alias("tone"), F.exists("d", lambda x: F.abs(x - 50) <= 20).alias("known"))
-
-
 @query("w05_first_later_voice", f"WITH {CALLS} SELECT a.call_id, (SELECT min_by(b.call_id, b.ts_ms) FROM calls b WHERE b.talkgroup_ref = a.talkgroup_ref AND b.system_ref = a.system_ref AND b.k > 60 AND b.ts_ms > a.ts_ms AND b.ts_ms <= a.ts_ms + 1200000) AS next_call FROM calls a")
 def w05(spark, sf):
     return temporal.next_matching(calls(spark, sf), ["system_ref", "talkgroup_ref"], F.col("k") > 60, 1_200_000).select("call_id", "next_call")

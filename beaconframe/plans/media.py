@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import signal
+from ..operators import tonesets
 from ..operators.geometry import points_in_rings
 from ..sources import shapes, tags
 from ..sources.adapters import CALLS, KINDS, calls, table
@@ -81,3 +83,62 @@ def s18b(spark, sf):
 def s18c(spark, sf):
     points = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (40 + F.col("s_acctbal") / 10000).alias("lat"), (-80 + F.col("s_nationkey") / 10.0 + F.col("s_suppkey") % 7 * 0.003).alias("lon"))
     return points_in_rings(points, shapes.features(boundary_files(spark, sf)))
+
+
+# Clips: for each channel and k a file with two tones of a second, 300 + 100 * channel Hz and 900 + 5 * k Hz, between quiet noise.
+# Sets: one a customer; all frequencies are multiples of 5 Hz and no tolerance is, so what is heard a little off decides nothing.
+CLIPS_SQL = f"WITH {CALLS}, clips AS (SELECT DISTINCT talkgroup_ref * 1000 + k AS clip_id, 300 + 100 * talkgroup_ref AS fa, 900 + 5 * k AS fb FROM calls)"
+SETS_SQL = """sets AS (SELECT c_custkey AS set_id, c_custkey % 4 AS kind, 400 + c_custkey * 5 % 500 AS a, 900 + c_custkey * 35 % 500 AS b, CASE WHEN c_custkey % 2 = 0 THEN 7.5 ELSE 12.5 END AS hz, c_custkey % 11 > 0 AS short_enough FROM customer)"""
+HELD_SQL = f"""{CLIPS_SQL}, {SETS_SQL}, held AS (SELECT clip_id, set_id, kind FROM clips JOIN sets ON short_enough AND CASE kind
+ WHEN 3 THEN abs(fa - b) <= hz OR abs(fb - b) <= hz WHEN 2 THEN abs(fa - a) <= hz OR abs(fb - a) <= hz ELSE abs(fa - a) <= hz AND abs(fb - b) <= hz END)"""
+
+
+def clips(spark, sf):
+    """clip_id, wav: stored as binaries."""
+    ship(spark)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        t = np.arange(signal.RATE) / signal.RATE
+        quiet = 0.01 * np.random.default_rng(1).standard_normal(signal.RATE // 2)
+        for b in batches:
+            ids = b.column("clip_id").to_pylist()
+            waves = [[0.5 * np.sin(2 * np.pi * hz * t) for hz in (300 + 100 * (i // 1000), 900 + 5 * (i % 1000))] for i in ids]
+            yield pa.record_batch([b.column("clip_id"), pa.array([signal.wav_of_pcm(np.concatenate([quiet, *w, quiet])) for w in waves], pa.binary())], names=["clip_id", "wav"])
+
+    return written(calls(spark, sf).select((F.col("talkgroup_ref") * 1000 + F.col("k")).alias("clip_id")).distinct().mapInArrow(run, "clip_id bigint, wav binary"))
+
+
+def tone_sets(spark, sf):
+    """Pairs (kinds 0 and 1), first tones only (2) and long tones (3); every eleventh asks for shorter tones than any clip has."""
+    n = F.col("c_custkey")
+    most = F.when(n % 11 > 0, 0.0).otherwise(0.5)
+    spec = lambda hz: F.struct(hz.cast("double").alias("frequency"), F.lit(0.6).alias("min"), most.alias("max"))
+    a, b = spec(400 + n * 5 % 500), spec(900 + n * 35 % 500)
+    kind = n % 4
+    tolerance = F.when(n % 4 == 0, 0.015).when(n % 2 == 0, 7.5).when(n % 4 == 1, 0.025).otherwise(12.5)
+    return table(spark, sf, "customer").select(n.alias("set_id"), F.when(kind < 3, a).alias("a"), F.when(kind < 2, b).alias("b"), F.when(kind == 3, b).alias("long"), tolerance.alias("tolerance"))
+
+
+@query("m19_tone_set_match", f"{HELD_SQL} SELECT clip_id, set_id, kind < 2 AS pair FROM held")
+def m19(spark, sf):
+    found = tonesets.matched_sets(tonesets.detected_tones(clips(spark, sf)), tone_sets(spark, sf))
+    return found.select("clip_id", "set_id", F.col("second").isNotNull().alias("pair"))
+
+
+@query("m20_all_matches", f"{HELD_SQL} SELECT clip_id, count(set_id) AS matches FROM clips LEFT JOIN held USING (clip_id) GROUP BY 1")
+def m20(spark, sf):
+    stored = clips(spark, sf)
+    found = tonesets.matched_sets(tonesets.detected_tones(stored), tone_sets(spark, sf)).groupBy("clip_id").agg(F.count(F.lit(1)).alias("matches"))
+    return stored.select("clip_id").join(found, "clip_id", "left").select("clip_id", F.coalesce("matches", F.lit(0)).alias("matches"))
+
+
+@query("m33_known_tone_sets", f"{CLIPS_SQL}, {SETS_SQL} SELECT clip_id, EXISTS (SELECT 1 FROM sets WHERE kind < 2 AND abs(fa - a) <= 12 AND abs(fb - b) <= 12) AS known FROM clips")
+def m33(spark, sf):
+    """Whether the two tones of a clip are a set already."""
+    tones = tonesets.detected_tones(clips(spark, sf))
+    side = lambda i: F.max(F.when(F.col("place") == i, F.col("frequency")))
+    candidates = tones.groupBy(F.col("clip_id").alias("candidate_id")).agg(side(0).alias("a_hz"), side(1).alias("b_hz"))
+    return tonesets.known_sets(candidates, tone_sets(spark, sf), 12.0).select(F.col("candidate_id").alias("clip_id"), "known")

@@ -256,12 +256,6 @@ def m15(spark, sf):
     return calls(spark, sf).select("k").distinct().mapInPandas(run, "k bigint, tones bigint")
 
 
-@query("m20_all_matches", f"WITH {CALLS} SELECT call_id, CAST((abs(k - 20) <= 10)::INT + (abs(k - 40) <= 15)::INT AS BIGINT) AS matches FROM calls")
-def m20(spark, sf):
-    sets = F.array(F.struct(F.lit(20).alias("f"), F.lit(10).alias("t")), F.struct(F.lit(40).alias("f"), F.lit(15).alias("t")))
-    return calls(spark, sf).select("call_id", F.size(F.filter(sets, lambda s: F.abs(F.col("k") - s["f"]) <= s["t"])).cast("bigint").alias("matches"))
-
-
 @query("m31_wav_round_trip")
 def m31(spark, sf):
     """Samples of a written and read WAV for each channel, and its hash."""
