@@ -49,7 +49,7 @@ def s16(spark, sf):
     """Sections of an INI-like file, each with its tones."""
     path = new_folder(spark)
     block = F.concat(F.lit("["), "s_name", F.lit("]\natone = "), F.floor(F.abs(F.col("s_acctbal"))).cast("string"), F.lit("\n; note\n"))
-    table(spark, sf, "supplier").select(block.alias("value")).coalesce(1).write.text(path)
+    table(spark, sf, "supplier").select(block.alias("value")).write.text(path)
     section = spark.read.option("lineSep", "[").text(path).where("trim(value) <> ''")
     return section.select(F.split_part("value", F.lit("]"), F.lit(1)).alias("label"), F.regexp_extract("value", r"atone\s*=\s*([\d.]+)", 1).try_cast("double").alias("a"))
 
@@ -59,13 +59,6 @@ def s19(spark, sf):
     return upserts.first_by(table(spark, sf, "customer").withColumn("geoid", F.col("c_nationkey").cast("bigint")).withColumnsRenamed({"c_mktsegment": "layer", "c_custkey": "id"}), [F.col("layer"), F.col("geoid")], F.col("id"), "layer", "geoid", "id")
 
 
-@query("s21_xml_talkgroups", "SELECT p_partkey AS ref, p_name AS label FROM part WHERE p_size = 7")
-def s21(spark, sf):
-    item = F.concat(F.lit("<tg><dec>"), F.col("p_partkey").cast("string"), F.lit("</dec><label>"), F.col("p_name"), F.lit("</label></tg>"))
-    parsed = table(spark, sf, "part").where("p_size = 7").select(F.from_xml(item, "dec bigint, label string").alias("x"))
-    return parsed.select(F.col("x.dec").alias("ref"), "x.label")
-
-
 @query("s26_forwarded_calls", f"WITH {CALLS} SELECT talkgroup_ref, count(*) AS sent FROM calls WHERE system_ref IN (1, 3) GROUP BY 1")
 def s26(spark, sf):
     """A sink for each micro-batch that forwards what the target may have."""
@@ -106,18 +99,6 @@ def f27(spark, sf):
     return said.join(best, "heard").select("id", F.concat("n", F.lit(" "), "street", F.lit(" RD")).alias("address"))
 
 
-@query("f28_guarded_corrections", f"WITH {CALLS} SELECT call_id, CASE WHEN k % 2 = 0 THEN 'FIRE AT LAKE SHORE DR' ELSE 'FIRE AT SHORE RD AND LAKE SHORE DR' END AS said FROM calls")
-def f28(spark, sf):
-    ship(spark)
-
-    @F.pandas_udf("string")
-    def fix(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: address.corrected(t, [("LAKE SHOR", "LAKE SHORE"), ("SHOR", "SHORE")]))
-
-    said = F.when(F.col("k") % 2 == 0, "FIRE AT LAKE SHOR DR").otherwise("FIRE AT SHOR RD AND LAKE SHORE DR")
-    return calls(spark, sf).select("call_id", fix(said).alias("said"))
-
-
 @query("f42_canonical_label", "SELECT p_partkey AS id, CASE upper(p_type) WHEN 'ECONOMY' THEN 'E' WHEN 'SMALL' THEN 'S' ELSE upper(p_type) END AS label FROM part")
 def f42(spark, sf):
     known = F.create_map(*[F.lit(x) for x in ("ECONOMY", "E", "SMALL", "S")])
@@ -249,11 +230,6 @@ def t34(spark, sf):
     return c.where(F.col("ts_ms") >= F.lit(last_moment(c)) - days * DAY).groupBy("talkgroup_ref").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("t37_bulk_tone_flags", f"WITH {TALKGROUPS} SELECT talkgroup_ref, CASE WHEN list_contains(['fire', 'ems'], tag) THEN TRUE ELSE alerts END AS detect FROM talkgroups")
-def t37(spark, sf):
-    return talkgroups(spark).select("talkgroup_ref", F.when(F.array_contains(F.array(F.lit("fire"), F.lit("ems")), F.col("tag")), True).otherwise(F.col("alerts")).alias("detect"))
-
-
 @query(
     "w12_request_windows",
     f"""WITH RECURSIVE {CALLS}, f AS (SELECT unit_ref, min(ts_ms) AS s FROM calls GROUP BY 1 UNION ALL SELECT f.unit_ref, (SELECT min(ts_ms) FROM calls c WHERE c.unit_ref = f.unit_ref AND c.ts_ms > f.s + 172800000) FROM f WHERE f.s IS NOT NULL)
@@ -266,3 +242,38 @@ def w12(spark, sf):
     return placed.groupBy("unit_ref", "window_ms").agg(n.alias("requests"), F.least(n, F.lit(2)).alias("allowed"), F.greatest(n - 2, F.lit(0)).alias("rejected"))
 
 
+
+
+@query("s21_xml_talkgroups", "SELECT p_partkey AS ref, p_name AS label FROM part")
+def s21(spark, sf):
+    item = F.concat(F.lit("<tg><dec>"), F.col("p_partkey").cast("string"), F.lit("</dec><label>"), F.col("p_name"), F.lit("</label></tg>"))
+    parsed = table(spark, sf, "part").select(F.from_xml(item, "dec bigint, label string").alias("x"))
+    return parsed.select(F.col("x.dec").alias("ref"), "x.label")
+
+
+@query("t37_bulk_tone_flags", "SELECT c_custkey AS talkgroup_ref, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN TRUE WHEN c_acctbal > 5000 THEN NULL ELSE c_acctbal > 0 END AS detect FROM customer")
+def t37(spark, sf):
+    """Tone detection set on for all channels of some tags, and left as it is for the others; a customer is a channel, its segment the tag."""
+    before = F.when(F.col("c_acctbal") <= 5000, F.col("c_acctbal") > 0)
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("talkgroup_ref"), F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), True).otherwise(before).alias("detect"))
+
+
+@query("n11_bulk_tag_flag", "SELECT c_custkey AS talkgroup_ref, c_mktsegment IN ('BUILDING', 'FURNITURE') AS detect FROM customer")
+def n11(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("talkgroup_ref"), F.array_contains(F.array(F.lit("BUILDING"), F.lit("FURNITURE")), F.col("c_mktsegment")).alias("detect"))
+
+
+@query("n06_delay_maps", "SELECT o_custkey AS system_ref, o_custkey || ':' || o_orderkey AS channel, CAST(o_orderkey % 60 AS INT) AS delay FROM orders")
+def n06(spark, sf):
+    """Each system's delays, one JSON map a system, by channel."""
+    entry = F.struct(F.concat_ws(":", "o_custkey", "o_orderkey").alias("key"), (F.col("o_orderkey") % 60).cast("int").alias("value"))
+    maps = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("system_ref")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("delays"))
+    return maps.select("system_ref", F.explode(F.from_json("delays", "map<string,int>")).alias("channel", "delay"))
+
+
+@query("t36_merged_successors", f"WITH {CALLS} SELECT talkgroup_ref, count(DISTINCT k) AS tone_sets, max(ts_ms) AS anchor_ms FROM calls GROUP BY 1")
+def t36(spark, sf):
+    """What waits and what came after it become one: the tone sets of both without repeats, and the later anchor."""
+    side = lambda waits: calls(spark, sf).where(waits).groupBy("talkgroup_ref").agg(F.collect_set("k").alias("sets"), F.max("ts_ms").alias("anchor_ms"))
+    both = side(F.col("k") < 50).unionByName(side(F.coalesce(F.col("k") >= 50, F.lit(True))))
+    return both.groupBy("talkgroup_ref").agg(F.size(F.array_distinct(F.flatten(F.collect_list("sets")))).cast("bigint").alias("tone_sets"), F.max("anchor_ms").alias("anchor_ms"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import address, locations
+from ..operators import incidents
 from ..sources.adapters import table
+from ..sources.shared import ship, written
 from .mentions import planted
 from .registry import query
 
@@ -105,3 +110,59 @@ def f33(spark, sf):
     a = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), kind.alias("address"))
     tests = {"noise": address.is_noise, "plate": address.is_plate, "unit": address.is_unit, "malformed": address.is_malformed}
     return a.select("id", "address", *[test(F.col("address")).alias(name) for name, test in tests.items()])
+
+
+# The pipeline: every eleventh transcript is blank, and a sentence without an address fails.
+STATUS_SQL = f"""{SAID_SQL}, g AS (SELECT *, CASE WHEN call_id % 11 = 0 THEN 'skipped' WHEN kind = 4 THEN 'failed' ELSE 'ok' END AS status,
+ CASE kind WHEN 0 THEN number || ' ' || a WHEN 1 THEN number || ' ' || a WHEN 2 THEN a || ' & ' || b WHEN 3 THEN number || ' SR 88' WHEN 5 THEN a END AS said FROM p)"""
+
+
+def incident_rows(spark, sf):
+    whole = planted(spark, sf, said())
+    blank = F.when(F.col("call_id") % 11 == 0, " \n ").otherwise(F.col("transcript"))
+    return incidents.processed(whole.withColumn("transcript", blank), KNOWN)
+
+
+@query("g01_incident_status", f"WITH {STATUS_SQL} SELECT call_id, status, CASE WHEN status = 'ok' THEN said END AS address FROM g")
+def g01(spark, sf):
+    return incident_rows(spark, sf).select("call_id", "status", "address")
+
+
+@query("g03_fallback_records", f"WITH {STATUS_SQL} SELECT call_id, CAST(NULL AS VARCHAR) AS address, 'WICKLIFFE FIREHOUSE' AS place, 'ROOM 12' AS apartment, TRUE AS has_notes FROM g WHERE status = 'failed'")
+def g03(spark, sf):
+    return incident_rows(spark, sf).where("status = 'failed'").select("call_id", "address", "place", "apartment", (F.length("notes") > 0).alias("has_notes"))
+
+
+@query("g09_saved_incidents", f"WITH {STATUS_SQL} SELECT call_id, said AS address FROM g WHERE status = 'ok'")
+def g09(spark, sf):
+    """Saved in two runs: what the first one has is not saved again."""
+    found = written(incident_rows(spark, sf).select("call_id", "status", "address", "category"))
+    first = written(found.where("status = 'ok' and address like '% & %'").select("call_id", "address", "category"))
+    return first.unionByName(incidents.new_incidents(first, found)).select("call_id", "address")
+
+
+UPPER_SQL = "d AS (SELECT doc_id AS call_id, replace(upper(replace(text, 'ß', chr(1))), chr(1), 'SS') AS up, doc_id * 37 % (length(text) + 1) AS place, left(text, CAST(doc_id * 37 % (length(text) + 1) AS INT)) AS lhs, substr(text, doc_id * 37 % (length(text) + 1) + 1) AS rhs FROM documents), u AS (SELECT call_id, replace(upper(replace(lhs, 'ß', chr(1))), chr(1), 'SS') AS lhs, replace(upper(replace(rhs, 'ß', chr(1))), chr(1), 'SS') AS rhs FROM d)"
+
+
+def _corrected(transcripts, pairs):
+    ship(transcripts.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"call_id": rows["call_id"], "said": [address.corrected(t, pairs) for t in rows["transcript"]]})
+
+    return transcripts.select("call_id", F.upper("transcript").alias("transcript")).mapInPandas(run, "call_id bigint, said string")
+
+
+@query("f28_guarded_corrections", f"WITH {UPPER_SQL} SELECT call_id, lhs || chr(10) || CASE WHEN call_id % 2 = 0 THEN 'FIRE AT LAKE SHORE DR' ELSE 'FIRE AT SHORE RD AND LAKE SHORE DR' END || chr(10) || rhs AS said FROM u")
+def f28(spark, sf):
+    """A mistake is mended, but not where the right words stand already."""
+    sentence = F.when(F.col("doc_id") % 2 == 0, "fire at lake shork dr").otherwise("fire at shork rd and lake shore dr")
+    return _corrected(planted(spark, sf, sentence), [("LAKE SHORK", "LAKE SHORE"), ("SHORK", "SHORE")])
+
+
+@query("f29_one_way_corrections", f"WITH {UPPER_SQL} SELECT call_id, lhs || chr(10) || 'AT MAIN STREET' || chr(10) || rhs AS said FROM u")
+def f29(spark, sf):
+    """Corrections whose correct form holds the mistake are left out."""
+    pairs = [(bad, good) for bad, good in (("MANE", "MAIN"), ("MAIN", "MAIN STREET")) if bad not in good]
+    return _corrected(planted(spark, sf, F.lit("at mane street")), pairs)

@@ -118,16 +118,6 @@ def f43(spark, sf):
 
 
 
-@query("g01_incident_status", f"WITH {CALLS} SELECT call_id, CASE WHEN k < 5 THEN 'skipped' WHEN k % 2 = 0 THEN 'ok' ELSE 'failed' END AS status FROM calls")
-def g01(spark, sf):
-    """Empty transcripts are skipped; those with a house number get an address, the others fail."""
-    said = F.when(F.col("k") < 5, F.lit("  ")).otherwise(F.concat(F.lit("respond to "), F.when(F.col("k") % 2 == 0, F.concat(F.col("k").cast("string"), F.lit(" North Main Street"))).otherwise(F.lit("the station"))))
-    clean = tx.normalise_transcript(said)
-    address = F.regexp_extract(clean, r"\b(\d+ (?:[A-Z]+ )+(?:STREET|ROAD|AVENUE))", 1)
-    status = F.when(clean == "", "skipped").when(address != "", "ok").otherwise("failed")
-    return calls(spark, sf).select("call_id", status.alias("status"))
-
-
 @query("g04_known_place_pins", "SELECT p_partkey AS call_id, s.first_id AS place FROM part JOIN (SELECT upper(p_name) AS key, min(p_partkey) AS first_id FROM part WHERE p_size > 30 GROUP BY 1) s ON upper(p_name) = s.key")
 def g04(spark, sf):
     p = table(spark, sf, "part")

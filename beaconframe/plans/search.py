@@ -359,11 +359,6 @@ def n10(spark, sf):
     return joined.select("call_id", search.effective_delay(F.col("delay_min"), F.col("system_ref") % 4, F.lit(1)).cast("bigint").alias("delay"))
 
 
-@query("n11_bulk_tag_flag", f"WITH {TALKGROUPS} SELECT talkgroup_ref, list_contains(['ops', 'law'], tag) AS detect FROM talkgroups")
-def n11(spark, sf):
-    return talkgroups(spark).select("talkgroup_ref", F.array_contains(F.array(F.lit("ops"), F.lit("law")), F.col("tag")).alias("detect"))
-
-
 @query("t12_released_calls", f"WITH {CALLS}, {NOW}, {TALKGROUPS} SELECT call_id FROM calls JOIN talkgroups USING (talkgroup_ref), now WHERE ts_ms + delay_min * 60000 <= t")
 def t12(spark, sf):
     c = calls(spark, sf)

@@ -158,19 +158,6 @@ def f25(spark, sf):
     return n.withColumn("b", F.explode(heard)).select("a", "b", F.round(streets.score(core("a"), core("b")), 6).alias("score"))
 
 
-@query("f29_one_way_corrections", f"WITH {CALLS} SELECT call_id, 'AT MAIN STREET' AS said FROM calls")
-def f29(spark, sf):
-    """Corrections whose correct form holds the mistake are left out."""
-    ship(spark)
-    pairs = [(bad, good) for bad, good in (("MANE", "MAIN"), ("MAIN", "MAIN STREET")) if bad not in good]
-
-    @F.pandas_udf("string")
-    def fix(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: address.corrected(t, pairs))
-
-    return calls(spark, sf).select("call_id", fix(F.lit("AT MANE STREET")).alias("said"))
-
-
 @query("f37_locality_names", "SELECT n_nationkey::BIGINT AS id, CASE n_nationkey % 3 WHEN 0 THEN 'Jefferson' WHEN 1 THEN 'Morgan' ELSE n_name END AS name FROM nation")
 def f37(spark, sf):
     search = F.when(F.col("n_nationkey") % 3 == 0, "Jefferson Township, Ohio")
@@ -294,19 +281,6 @@ def g02(spark, sf):
     return calls(spark, sf).select("call_id", nature.with_fallback(F.coalesce(by_phrase, by_model)).alias("nature"))
 
 
-@query("g03_fallback_records", f"WITH {CALLS} SELECT call_id, 'failed' AS status, CAST(NULL AS DOUBLE) AS lat FROM calls WHERE k = 3")
-def g03(spark, sf):
-    raw = F.struct(F.lit("failed").alias("status"), F.lit(None).cast("double").alias("lat"))
-    return calls(spark, sf).where("k = 3").select("call_id", raw["status"].alias("status"), raw["lat"].alias("lat"))
-
-
-@query("g09_saved_incidents", f"WITH {CALLS} SELECT call_id, k AS address FROM calls WHERE k > 90")
-def g09(spark, sf):
-    path = new_folder(spark)
-    calls(spark, sf).where("k > 90").select("call_id", F.col("k").alias("address")).write.parquet(path)
-    return spark.read.schema("call_id bigint, address bigint").parquet(path)
-
-
 @query("m23_home_ceiling_and_mutual_aid", "SELECT s_suppkey AS id, abs(s_acctbal) / 200 <= 30 OR s_nationkey IN (2, 3) AS covered FROM supplier")
 def m23(spark, sf):
     miles = geo.flat_miles(F.lit(0.0), F.lit(0.0), F.abs(F.col("s_acctbal")) / 200 / 69, F.lit(0.0))
@@ -364,15 +338,6 @@ def t35(spark, sf):
     return calls(spark, sf).select("call_id", (F.col("k") % 2 == 0).alias("mapped"))
 
 
-@query("t36_merged_successors", f"WITH {CALLS} SELECT talkgroup_ref, count(DISTINCT k) AS tone_sets, max(ts_ms) AS anchor_ms FROM calls WHERE k < 12 GROUP BY 1")
-def t36(spark, sf):
-    c = calls(spark, sf).where("k < 12")
-    early, late = c.where("k < 6"), c.where("k >= 6")
-    side = lambda x: x.groupBy("talkgroup_ref").agg(F.collect_set("k").alias("sets"), F.max("ts_ms").alias("anchor_ms"))
-    both = side(early).unionByName(side(late)).groupBy("talkgroup_ref").agg(F.size(F.array_distinct(F.flatten(F.collect_list("sets")))).cast("bigint").alias("tone_sets"), F.max("anchor_ms").alias("anchor_ms"))
-    return both
-
-
 @query("t01_micro_batches", f"WITH {CALLS} SELECT unit_ref, count(*) AS calls FROM calls GROUP BY 1")
 def t01(spark, sf):
     return run_available(call_stream(spark, sf).select("unit_ref", "call_id")).groupBy("unit_ref").agg(F.count(F.lit(1)).alias("calls"))

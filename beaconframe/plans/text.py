@@ -215,12 +215,6 @@ def n05(spark, sf):
     return table(spark, sf, "events").where(F.get_json_object("props", "$.k") == "7").select(F.col("event_id").alias("call_id"))
 
 
-@query("n06_delay_maps", "SELECT * FROM (VALUES ('1:2', 5), ('3:1', 9)) v(channel, delay)")
-def n06(spark, sf):
-    doc = spark.createDataFrame([('{"1:2":5,"3:1":9}',)], "j string")
-    return doc.select(F.explode(F.from_json("j", "map<string,int>")).alias("channel", "delay"))
-
-
 @query("n12_exploded_sources", "SELECT l_orderkey AS call_id, l_suppkey AS unit, l_linenumber AS place FROM lineitem WHERE l_suppkey > 0")
 def n12(spark, sf):
     doc = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("call_id")).agg(F.to_json(F.collect_list(F.struct(F.col("l_suppkey").alias("src"), F.col("l_linenumber").alias("pos")))).alias("j"))
