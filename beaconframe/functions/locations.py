@@ -25,6 +25,7 @@ from .units import edits
 
 TYPES = frozenset("RD ROAD ST STREET AVE AVENUE DR DRIVE LN LANE CT COURT BLVD BOULEVARD PL PLACE PT POINT WAY CIR CIRCLE TRL TRAIL TERR TER HWY HIGHWAY PKWY PARKWAY RUN".split())
 DIRECTIONS = frozenset("N S E W NORTH SOUTH EAST WEST NORTHEAST NORTHWEST SOUTHEAST SOUTHWEST NE NW SE SW".split())
+_NO_STEM = TYPES | DIRECTIONS
 #: Words that no street name holds; a name ends before them.
 STOPS = frozenset("THE A AN AT ON IN OF NEAR BY OFF AND OR TO FOR WITH IS ARE FROM CROSS CROSSES BETWEEN RESPOND GO AROUND ACROSS THAT TIME YOUR WE YOU THEY IT S HAS HAVE RESPONDED UNIT ENGINE MEDIC STATION SQUAD APARTMENT APT ROOM SUITE LOT".split())
 ROUTES = {("STATE", "ROUTE"): "SR", ("SR",): "SR", ("ROUTE",): "SR", ("RT",): "SR", ("US", "ROUTE"): "US", ("US",): "US", ("INTERSTATE",): "I", ("I",): "I", ("COUNTY", "ROAD"): "CR", ("CR",): "CR"}
@@ -196,7 +197,10 @@ def extract(text: str, known: Gazetteer) -> dict[str, str]:
     The longer of two candidates of one rank at one place counts.  Two cross streets
     without an address are the address.
     """
-    words = _TOKEN.findall(upper(text))
+    return _extract(_TOKEN.findall(upper(text)), known)
+
+
+def _extract(words: list[str], known: Gazetteer) -> dict[str, str]:
     spans = spans_of(words, known)
     # A pair that a transcript calls cross streets is no intersection of its own.
     crosses = [s for s in spans if "cross_2" in s.found]
@@ -270,8 +274,11 @@ def _aligned_part(wanted: list[str], said: list[str]) -> tuple[int, int, int, in
 
 def aligned(address: str, transcript: str) -> bool:
     """Whether the address was said: its number as such, or as a pair around a hyphen; and each word of the street's name, in one place."""
-    said = _TOKEN.findall(upper(transcript))
-    said = [w for token in said for w in ([token.replace("-", ""), *token.split("-")] if "-" in token else [token])]
+    return _aligned(address, _TOKEN.findall(upper(transcript)))
+
+
+def _aligned(address: str, tokens: list[str]) -> bool:
+    said = [w for token in tokens for w in ([token.replace("-", ""), *token.split("-")] if "-" in token else [token])]
     for side in tidy(address).split(" & "):
         words = side.split()
         number = words[0] if len(words) > 1 and words[0].isdigit() else ""
@@ -281,20 +288,25 @@ def aligned(address: str, transcript: str) -> bool:
             if words[-1] not in said:
                 return False
             continue
-        stem = [w for w in words[bool(number) :] if w not in TYPES | DIRECTIONS]
-        if not stem or alignment(stem, [w for w in said if w not in TYPES | DIRECTIONS])[0] < len(stem):
+        stem = [w for w in words[bool(number) :] if w not in _NO_STEM]
+        if not stem or alignment(stem, [w for w in said if w not in _NO_STEM])[0] < len(stem):
             return False
     return True
 
 
-_NOT_HOUSE = {
-    "age": r"\b{n}[- ]YEAR\b",
-    "time": r"\bTIME (?:IS |OF CALL )?{n}\b",
-    "unit": r"\b(?:ENGINE|MEDIC|SQUAD|TRUCK|LADDER|RESCUE|TANKER|BATTALION|CAR) {n}\b",
-    "plate": r"\b(?:PLATE|REGISTRATION|LICENSE)(?: NUMBER| OF)? [A-Z0-9 -]{{0,12}}\b{n}\b",
-    "vehicle": r"\b{n} (?:FORD|CHEVY|CHEVROLET|HONDA|TOYOTA|DODGE|JEEP|NISSAN|BUICK|KIA|GMC)\b",
-    "vitals": r"\b(?:PULSE|BLOOD PRESSURE|OXYGEN|PAIN)(?: IS| OF| AT)? {n}\b",
+#: What stands before or after a number that is no house number.
+_BEFORE = {
+    "time": re.compile(r"\bTIME (?:IS |OF CALL )?$"),
+    "unit": re.compile(r"\b(?:ENGINE|MEDIC|SQUAD|TRUCK|LADDER|RESCUE|TANKER|BATTALION|CAR) $"),
+    "plate": re.compile(r"\b(?:PLATE|REGISTRATION|LICENSE)(?: NUMBER| OF)? [A-Z0-9 -]{0,12}$"),
+    "vitals": re.compile(r"\b(?:PULSE|BLOOD PRESSURE|OXYGEN|PAIN)(?: IS| OF| AT)? $"),
+}
+_AFTER = {
+    "age": re.compile(r"[- ]YEAR\b"),
+    "vehicle": re.compile(r" (?:FORD|CHEVY|CHEVROLET|HONDA|TOYOTA|DODGE|JEEP|NISSAN|BUICK|KIA|GMC)\b"),
 }
+#: Letters of a transcript that are looked at on each side of a number.
+_AROUND = 60
 _BLOCKED = re.compile(r"\b(?:STAND DOWN|DISREGARD|CANCEL(?:LED)?|RADIO TEST)\b")
 NOISE = re.compile(r"\b(?:OKAY|COPY THAT|THANK YOU|YEAH|UH|STAND BY|GO AHEAD)\b")
 PLATE = re.compile(r"[A-Z]{2,3}[ -]?\d{3,4}|\d{3,4}[ -]?[A-Z]{2,3}")
@@ -307,22 +319,40 @@ def rejected(address: str, transcript: str) -> str:
     A house number before a street with its type was said as a location, so what else
     the transcript tells does not count against it.
     """
-    up, said = tidy(address), " ".join(_TOKEN.findall(upper(transcript)))
+    return _rejected(tidy(address), _TOKEN.findall(upper(transcript)))
+
+
+def _places(number: str, said: str) -> list[tuple[str, str]]:
+    """What stands before and after each place of a number that is not part of a word."""
+    out, at = [], said.find(number)
+    while at >= 0:
+        end = at + len(number)
+        if not (said[at - 1 : at].isalnum() or said[end : end + 1].isalnum()):
+            out.append((said[max(at - _AROUND, 0) : at], said[end : end + _AROUND]))
+        at = said.find(number, end)
+    return out
+
+
+def _rejected(up: str, tokens: list[str]) -> str:
+    said = " ".join(tokens)
     if len(up) < 3 or not re.search("[A-Z]", up) or re.search(r"\b(\w+) \1 \1\b", up):
         return "malformed"
     for name, pattern in (("noise", NOISE.search), ("plate", PLATE.fullmatch), ("unit", UNIT.fullmatch)):
         if pattern(up):
             return name
-    if not aligned(up, transcript):
+    if not _aligned(up, tokens):
         return "not said"
     words = up.split()
     typed = words[-1] in TYPES or len(words) > 2 and words[-2] in TYPES
-    strong = words[0].isdigit() and (typed or len(words) > 2) and re.search(rf"\b{words[0]} (?:[A-Z]+ )?{re.escape(words[1])}\b", said)
-    if words[0].isdigit():
-        for name, pattern in _NOT_HOUSE.items():
-            if name == "unit" and len(words[0]) > 3:  # no unit has such a number
-                continue
-            if re.search(pattern.format(n=words[0]), said) and not (strong and len(re.findall(rf"\b{words[0]}\b", said)) > 1):
+    places = _places(words[0], said) if words[0].isdigit() else []
+    near = [after.split() for _, after in places]
+    strong = (typed or len(words) > 2) and any(n[:1] == words[1:2] or n[1:2] == words[1:2] and n[0].isalpha() for n in near)
+    if not (strong and len(places) > 1):
+        for name, pattern in _BEFORE.items():
+            if (name != "unit" or len(words[0]) < 4) and any(pattern.search(before) for before, _ in places):  # no unit has a longer number
+                return name
+        for name, pattern in _AFTER.items():
+            if any(pattern.match(after) for _, after in places):
                 return name
     return "cancelled" if not strong and _BLOCKED.search(said) else ""
 
@@ -343,8 +373,9 @@ def locations(transcripts: DataFrame, known: Gazetteer) -> DataFrame:
         for batch in batches:
             rows = []
             for call, value in zip(batch.column("call_id").to_pylist(), batch.column("transcript")):
-                if found := extract(text := value.as_py(), known):
-                    rows.append((call, *map(found.get, FIELDS), "address" in found and rejected(found["address"], text) or None))
+                words = _TOKEN.findall(upper(value.as_py()))
+                if found := _extract(words, known):
+                    rows.append((call, *map(found.get, FIELDS), "address" in found and _rejected(tidy(found["address"]), words) or None))
             columns = list(zip(*rows)) or [()] * 7
             yield pa.record_batch([pa.array(columns[0], batch.schema.field("call_id").type), *[pa.array(c, pa.string()) for c in columns[1:]]], names=["call_id", *FIELDS, "rejected"])
 
