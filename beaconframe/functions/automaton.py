@@ -29,7 +29,13 @@ def _capitals() -> dict[int, str]:
 
 def upper(text: str) -> str:
     """Upper case without any change of places: a letter whose capital is longer or shorter stays."""
-    return text.upper() if text.isascii() else text.translate(_capitals())
+    if text.isascii():
+        return text.upper()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.translate(_capitals())
+    return "ß".join(part.upper() for part in text.split("ß"))  # the only one of these that changes its length
 
 
 def _bytes(text: str) -> str:

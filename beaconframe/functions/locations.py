@@ -240,7 +240,8 @@ def alignment(wanted: list[str], said: list[str]) -> tuple[int, int, int]:
     reaches farther from a match than three times the address's length, and what lies
     beyond that is left out.
     """
-    near = {s for s in set(said) if any(_alike(w, s) for w in wanted)}
+    lengths = {len(w) + d for w in wanted for d in (-2, -1, 0, 1, 2)}
+    near = {s for s in set(said) if len(s) in lengths and any(_alike(w, s) for w in wanted)}
     reach, best, start = 3 * len(wanted), (0, 0, -1, -1), None
     places = [j for j, s in enumerate(said) if s in near]
     for j, after in zip(places, [*places[1:], len(said) + 2 * reach + 1]):

@@ -41,3 +41,9 @@ def test_rows(spark):
 def test_first_group():
     groups = (("structure fire", "smoke"), ("fire",), ("smoke", "gas"))
     assert [automaton.least_group(t, groups) for t in ("a fire, then smoke", "structure fire", "gas", "misfire", "", "none")] == [1, 1, 3, 2, None, None]
+
+
+def test_both_ways_to_capitals():
+    latin = "".join(map(chr, range(0x20, 0x100)))
+    assert automaton.upper(latin) == latin.translate(automaton._capitals()) == automaton.upper(latin + "字")[:-1]
+    assert automaton.upper("straße ÿ") == "STRAßE Ÿ"
