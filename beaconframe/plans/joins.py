@@ -151,10 +151,8 @@ def j19(spark, sf):
 )
 def j20(spark, sf):
     c = calls(spark, sf).select("call_id", "ts_ms", "system_ref", "k")
-    near = temporal.band_join(c, c, ["system_ref"], 1_200_000).where("call_id <> r_call_id")
-    rank = F.when(F.col("r_k") < 30, 0).when(F.col("r_k") < 60, 1).otherwise(2)
-    best = F.min(F.struct(rank.alias("rank"), F.abs(F.col("r_ts_ms") - F.col("ts_ms")).alias("gap_ms"), F.col("r_call_id").alias("peer")))
-    return near.groupBy("call_id").agg(best.alias("b")).select("call_id", "b.peer", "b.gap_ms")
+    rank = F.when(F.col("k") < 30, 0).when(F.col("k") < 60, 1).otherwise(2)
+    return temporal.nearest_peers(c, ["system_ref"], 1_200_000, rank)
 
 
 @query("j21_site_by_frequency", f"WITH {CALLS}, p AS (SELECT call_id, s_suppkey AS site, row_number() OVER (PARTITION BY call_id ORDER BY s_suppkey) AS n FROM calls JOIN supplier ON abs(duration * 20 - s_acctbal) <= 10) SELECT call_id, site FROM p WHERE n = 1")

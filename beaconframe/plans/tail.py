@@ -121,9 +121,7 @@ def j23(spark, sf):
 @query("w04_nearest_neighbours", f"WITH {CALLS}, p AS (SELECT a.call_id, b.call_id AS other, abs(a.ts_ms - b.ts_ms) AS gap_ms FROM calls a JOIN calls b ON a.unit_ref = b.unit_ref AND a.call_id <> b.call_id AND abs(a.ts_ms - b.ts_ms) <= 7200000), r AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY gap_ms, other) AS n FROM p) SELECT call_id, other FROM r WHERE n = 1")
 def w04(spark, sf):
     c = calls(spark, sf).select("call_id", "ts_ms", "unit_ref")
-    near = temporal.band_join(c, c, ["unit_ref"], 2 * HOUR).where("call_id <> r_call_id")
-    best = F.min(F.struct(F.abs(F.col("r_ts_ms") - F.col("ts_ms")).alias("g"), F.col("r_call_id").alias("other")))
-    return near.groupBy("call_id").agg(best["other"].alias("other"))
+    return temporal.nearest_peers(c, ["unit_ref"], 2 * HOUR).select("call_id", F.col("peer").alias("other"))
 
 
 @query("w10_chosen_candidates", "SELECT l_orderkey AS call_id, min(l_linenumber)::BIGINT AS first FROM lineitem GROUP BY 1")
