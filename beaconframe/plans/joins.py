@@ -125,8 +125,7 @@ def j16(spark, sf):
 )
 def j17(spark, sf):
     c = calls(spark, sf).select("call_id", "ts_ms", "system_ref", "talkgroup_ref")
-    found = temporal.band_join(c, c, ["system_ref", "talkgroup_ref"], 3_600_000).where("call_id <> r_call_id").select("call_id", F.col("r_call_id").alias("other"), F.abs(F.col("r_ts_ms") - F.col("ts_ms")).alias("gap_ms"))
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("call_id").orderBy("gap_ms", "other")).cast("bigint")).where("place <= 5")
+    return temporal.nearest_of_each(c, ["system_ref", "talkgroup_ref"], 3_600_000, 5).select("call_id", "other", "gap_ms", "place")
 
 
 @query("j18_timestamp_probe", f"WITH {CALLS} SELECT a.call_id, b.call_id AS other FROM calls a JOIN calls b ON {BAND.format(w=600000)} WHERE least(a.duration, b.duration) / greatest(a.duration, b.duration) >= 0.5")
