@@ -172,9 +172,12 @@ def w18(spark, sf):
 @query("g07_inherited_pins", f"WITH {CALLS}, p AS (SELECT a.call_id, min_by(b.call_id, abs(a.ts_ms - b.ts_ms) * 1000000 + b.call_id) AS peer FROM calls a JOIN calls b ON a.system_ref = b.system_ref AND b.k >= 50 AND abs(a.ts_ms - b.ts_ms) <= 1200000 WHERE a.k < 50 GROUP BY 1) SELECT * FROM p")
 def g07(spark, sf):
     c = calls(spark, sf).select("call_id", "ts_ms", "system_ref", "k")
-    near = temporal.band_join(c.where("k < 50"), c.where("k >= 50"), ["system_ref"], 1_200_000)
-    best = F.min(F.struct(F.abs(F.col("r_ts_ms") - F.col("ts_ms")).alias("gap"), F.col("r_call_id").alias("peer")))
-    return near.groupBy("call_id").agg(best["peer"].alias("peer"))
+    moment, peer = F.col("ts_ms") * 1_000_000, F.col("call_id")  # the twin's order: a gap's millisecond weighs as much as a million ids
+    value = lambda key: F.struct(key.alias("key"), peer.alias("peer"))
+    found = temporal.best_in_band(c, ["system_ref"], 1_200_000, F.col("k") >= 50, value(peer - moment), value(peer + moment), F.col("k") < 50)
+    side = lambda c, key: F.when(F.col(c).isNotNull(), F.struct(key.alias("key"), F.col(f"{c}.peer")))
+    best = F.least(side("back", F.col("back.key") + moment), side("ahead", F.col("ahead.key") - moment))
+    return found.groupBy("call_id").agg(F.min(best).alias("b")).where("b is not null").select("call_id", "b.peer")
 
 
 @query("g10_nature_backfill", "SELECT p_partkey AS call_id, CASE WHEN p_type = 'SMALL' THEN 'NEW' ELSE p_type END AS nature FROM part")
