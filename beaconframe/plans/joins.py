@@ -198,7 +198,8 @@ def j26(spark, sf):
     p = table(spark, sf, "part")
     lists = p.where("p_size < 10").select(F.col("p_brand").alias("list"), F.col("p_name").alias("word")).distinct()
     who = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("who"), F.concat(F.lit("Brand#"), 1 + F.col("c_custkey") % 20).alias("list"))
-    by_word = lists.join(who, "list").groupBy("word").agg(F.count_distinct("who").alias("users"))  # a call has one word here
+    users = who.groupBy("list").agg(F.count_distinct("who").alias("users"))  # a subscriber has one list, so those of several lists add up
+    by_word = lists.join(users, "list").groupBy("word").agg(F.sum("users").alias("users"))  # a call has one word here
     return p.join(by_word, p.p_name == by_word.word).select(F.col("p_partkey").alias("call_id"), "users", F.col("word").alias("words"))
 
 
