@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import stats
 from ..operators.numbering import numbered
 from ..sources.adapters import CALLS, DAY, HOUR, SYSTEMS, TALKGROUPS, calls, last_moment, systems, table, talkgroups
@@ -138,7 +139,7 @@ COUNTED = "counted AS (SELECT phrase, count(*) FILTER (accepted) AS accepted, co
 
 def counted_phrases(spark, sf):
     joined = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    rows = joined.select(F.upper(F.split_part("text", F.lit(" "), F.lit(1))).alias("phrase"), ((F.col("quality") == 1) & (F.col("toxic") == 0) & (F.col("doc_id") % 7 == 0)).alias("accepted"), (F.col("doc_id") % 5).alias("system_ref"), (F.col("doc_id") * HOUR).alias("seen_ms"))
+    rows = joined.select(tx.upper_letters(F.split_part("text", F.lit(" "), F.lit(1))).alias("phrase"), ((F.col("quality") == 1) & (F.col("toxic") == 0) & (F.col("doc_id") % 7 == 0)).alias("accepted"), (F.col("doc_id") % 5).alias("system_ref"), (F.col("doc_id") * HOUR).alias("seen_ms"))
     return rows.groupBy("phrase").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"), F.count_distinct("system_ref").alias("systems"), F.min("seen_ms").alias("first_ms"), F.max("seen_ms").alias("last_ms"))
 
 
