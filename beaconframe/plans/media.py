@@ -45,10 +45,14 @@ def s06(spark, sf):
 L_SQL = "SELECT lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS geoid, c_name AS name, lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS state, 40 + c_acctbal / 10000 AS y, -80 + c_nationkey / 10.0 AS x, 0.01 + c_custkey % 5 / 1000.0 AS s FROM customer"
 
 
+#: Customers whose boundaries of one nation go into one pair of files.
+PART = 25_000
+
+
 def boundary_files(spark, sf):
-    """A pair of files for each nation, with its customers' boundaries."""
+    """Pairs of files with the boundaries of a nation's customers, a pair for each PART of customer numbers."""
     ship(spark)
-    c = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_name", (40 + F.col("c_acctbal") / 10000).alias("y"), (-80 + F.col("c_nationkey") / 10.0).alias("x"), (0.01 + F.col("c_custkey") % 5 / 1000.0).alias("s"))
+    c = table(spark, sf, "customer").select("c_nationkey", F.floor(F.col("c_custkey") / PART).alias("part"), "c_custkey", "c_name", (40 + F.col("c_acctbal") / 10000).alias("y"), (-80 + F.col("c_nationkey") / 10.0).alias("x"), (0.01 + F.col("c_custkey") % 5 / 1000.0).alias("s"))
 
     def run(key, rows):
         import pandas as pd
@@ -59,9 +63,9 @@ def boundary_files(spark, sf):
             ring = [(x, y), (x, y + 2 * s), (x + s, y + 2 * s), (x + s, y + s), (x + 2 * s, y + s), (x + 2 * s, y), (x, y)]
             made.append(({"GEOID": f"{r.c_custkey:07d}", "NAME": r.c_name, "STATEFP": str(key[0])}, [[(x - s, y), (x - s, y + s), (x - 2 * s, y), (x - s, y)], ring]))
         shp, dbf = shapes.write_shapes(made, {"STATEFP": 2, "GEOID": 12, "NAME": 40})
-        return pd.DataFrame([(f"nation_{key[0]}", shp, dbf)], columns=["stem", "shp", "dbf"])
+        return pd.DataFrame([(f"nation_{key[0]}_{key[1]}", shp, dbf)], columns=["stem", "shp", "dbf"])
 
-    return written(c.groupBy("c_nationkey").applyInPandas(run, "stem string, shp binary, dbf binary"))
+    return written(c.groupBy("c_nationkey", "part").applyInPandas(run, "stem string, shp binary, dbf binary"))
 
 
 @query("s18_boundaries", f"WITH l AS ({L_SQL}) SELECT geoid, name, state, y AS min_lat, x AS min_lon, y + 2 * s AS max_lat, x + 2 * s AS max_lon, 7 AS points FROM l")
