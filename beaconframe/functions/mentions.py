@@ -2,7 +2,8 @@
 
 The words are found by `fuzzy.Index` for all texts of an Arrow batch at once; what
 is left for each text is to put its few candidates together.  A text without a
-candidate before a number costs nothing more.
+candidate before a number costs nothing more.  A line break ends what is said: no
+mention goes on over it.
 """
 
 from __future__ import annotations
@@ -62,9 +63,9 @@ _index = lru_cache(maxsize=16)(Index)
 @lru_cache(maxsize=16)
 def _pattern(first: tuple[FuzzyWord, ...], second: tuple[FuzzyWord, ...], digits: int, optional: bool) -> re.Pattern:
     either = lambda words: "|".join(re.escape(w.word) for w in words)
-    head = f"({either(first)})\\s+" if first else "()"
+    head = f"({either(first)})[^\\S\n]+" if first else "()"
     head = f"(?:{head})?" if optional and first else head
-    middle = f"({either(second)})\\s+" if second else "()"
+    middle = f"({either(second)})[^\\S\n]+" if second else "()"
     return re.compile(rf"\b{head}{middle}(\d{{1,{digits}}})\b", re.ASCII)
 
 
@@ -87,6 +88,10 @@ class _Text:
         moved = [(a - self.offset, b - self.offset, w, d) for a, b, w, d in candidates]
         return [c for c in moved if not gone & set(range(c[0], c[1] + 1))]
 
+    def on_line(self, first: int, last: int) -> bool:
+        """Whether there are such tokens, with no line break from the first to the last."""
+        return last < len(self.spans) and "\n" not in self.up[self.spans[first][0] : self.spans[last][1]]
+
     def number(self, i: int, digits: int) -> str:
         word = self.word(i)
         return word if word.isdigit() and len(word) <= digits else ""
@@ -111,10 +116,10 @@ def units_of(text: _Text, types: list, prefixes: list, settings: Settings) -> li
         if not any(before.endswith(r) for r in rejects[m[2]]):
             text.add("unit", m[1] or "", m[2], m[3], m[0], False)
             consumed.append(m.span())
-    prefixes = text.free(prefixes, consumed)
+    prefixes = [p for p in text.free(prefixes, consumed) if text.on_line(p[0], p[1] + 1)]
     for first, last, word, _ in text.free(types, consumed):
         name, number = settings.types[word].word, text.number(last + 1, 3)
-        if not number or text.taken & set(range(first, last + 2)) or text.word(first - 1) in rejects[name]:
+        if not number or not text.on_line(first, last + 1) or text.taken & set(range(first, last + 2)) or text.word(first - 1) in rejects[name]:
             continue
         prefix = _best(prefixes, first - 1, text.taken)
         begin = prefix[0] if prefix else first
@@ -144,14 +149,14 @@ def channels_of(text: _Text, dispatches: list, settings: Settings) -> list[Menti
         text.add("channel", m[1], m[2], m[3], m[0], False)
         consumed.append(m.span())
     for s in settings.shorthands:
-        for gap in (r"\s+", "-", ""):
+        for gap in (r"[^\S\n]+", "-", ""):
             for m in re.finditer(rf"\b{re.escape(s.label)}{gap}(\d{{1,2}})\b", text.up, re.ASCII):
                 text.add("channel", s.dispatch, s.separator, m[1], m[0], False)
                 consumed.append(m.span())
     for first, last, word, _ in text.free(dispatches, consumed):
         between = _separator(text.word(last + 1), settings) if settings.separators else ""
         at = last + 2 if settings.separators else last + 1
-        if (not settings.separators or between) and (number := text.number(at, 2)):
+        if (not settings.separators or between) and (number := text.number(at, 2)) and text.on_line(first, at):
             text.add("channel", settings.dispatches[word].word, between, number, text.up[text.spans[first][0] : text.spans[at][1]], True)
     return list(text.said.values())
 
