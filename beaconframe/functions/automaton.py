@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import ship
+from ..sources.shared import ship, sliced
 
 AROUND = 50
 _WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
@@ -94,7 +94,7 @@ def keyword_hits(transcripts: DataFrame, keywords: list[str], around: int = AROU
     kind = transcripts.schema["call_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, words, places, contexts = [], [], [], []
             for call, value in zip(batch.column("call_id").to_pylist(), batch.column("transcript")):
                 text = value.as_py()

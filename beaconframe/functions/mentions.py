@@ -16,7 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..sources.shared import ship
+from ..sources.shared import ship, sliced
 from .automaton import upper
 from .fuzzy import Index, Tokens, tokens_of
 from .units import FuzzyWord
@@ -224,7 +224,7 @@ def mapped(transcripts: DataFrame, schema: str, rows_of: Callable[[list, list[st
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = list(rows_of(batch.column("call_id").to_pylist(), [t or "" for t in batch.column("transcript").to_pylist()]))
             if rows:
                 columns = list(zip(*rows))

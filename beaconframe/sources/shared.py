@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,3 +52,20 @@ def written(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Texts handed on at once within a worker, in bytes; bounds a worker's memory.
+SLICE_BYTES = 2_000_000
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "transcript") -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about SLICE_BYTES of text, one row at least."""
+    for batch in batches:
+        start, total = 0, 0
+        for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+            if total and total + (n or 0) > SLICE_BYTES:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += n or 0
+        if batch.num_rows:
+            yield batch.slice(start)
